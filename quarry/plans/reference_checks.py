@@ -31,8 +31,8 @@ def p4_by_month(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_composite_partial(spark: SparkSession, d: str) -> DataFrame:
     """(nearest_name, canonical_skill_id) against (canonical_name, id) under MATCH PARTIAL."""
-    sugg = table(spark, d, "skill_suggestion").select("id", "nearest_name", "nearest_skill_id")
-    return orphan_references(sugg, ["nearest_name", "nearest_skill_id"], table(spark, d, "skill"), ["canonical_name", "id"], "partial")
+    sugg = table(spark, d, "skill_suggestion").select("id", "nearest_name", "canonical_skill_id")
+    return orphan_references(sugg, ["nearest_name", "canonical_skill_id"], table(spark, d, "skill"), ["canonical_name", "id"], "partial")
 
 
 QUERIES = {"p4_found": p4_found, "p4_by_month": p4_by_month, "p4_composite_partial": p4_composite_partial}
@@ -57,10 +57,10 @@ SQL = {
     "p4_found": _FAULTS + "SELECT DISTINCT table_name, row_id, reason FROM faults WHERE reason IS NOT NULL",
     "p4_by_month": _FAULTS + "SELECT table_name, month, reason, count(*) AS orphans FROM faults WHERE reason IS NOT NULL GROUP BY ALL",
     "p4_composite_partial": """
-SELECT s.id, s.nearest_name, s.nearest_skill_id,
-       CAST((CASE WHEN s.nearest_name IS NULL THEN 1 ELSE 0 END) + (CASE WHEN s.nearest_skill_id IS NULL THEN 2 ELSE 0 END) AS INTEGER) AS null_mask
+SELECT s.id, s.nearest_name, s.canonical_skill_id,
+       CAST((CASE WHEN s.nearest_name IS NULL THEN 1 ELSE 0 END) + (CASE WHEN s.canonical_skill_id IS NULL THEN 2 ELSE 0 END) AS INTEGER) AS null_mask
 FROM skill_suggestion s
-WHERE (s.nearest_name IS NOT NULL OR s.nearest_skill_id IS NOT NULL)
-  AND NOT EXISTS (SELECT 1 FROM skill k WHERE (s.nearest_name IS NULL OR s.nearest_name = k.canonical_name) AND (s.nearest_skill_id IS NULL OR s.nearest_skill_id = k.id))
+WHERE (s.nearest_name IS NOT NULL OR s.canonical_skill_id IS NOT NULL)
+  AND NOT EXISTS (SELECT 1 FROM skill k WHERE (s.nearest_name IS NULL OR s.nearest_name = k.canonical_name) AND (s.canonical_skill_id IS NULL OR s.canonical_skill_id = k.id))
 """,
 }
