@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import golay, ledger
+from quarry.llm import golay, leakage, ledger
 from quarry.storage import table
 
 # -- 1: near-duplicates -------------------------------------------------------------------------
@@ -56,7 +56,24 @@ def p3_ledger(spark: SparkSession, d: str) -> DataFrame:
     return both[0].unionByName(both[1])
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_ledger": p3_ledger}
+# -- 6: evaluation texts in the corpus -----------------------------------------------------------
+
+
+def _p6(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return leakage.find_leaks(docs, table(spark, d, "eval_item").select("item_id", "text"), words=12, edits=0)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p6(spark, d).select("doc_id", "item_id")
+
+
+def p6_items(spark: SparkSession, d: str) -> DataFrame:
+    """Leaked items with the number of documents that hold them."""
+    return _p6(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_ledger": p3_ledger, "p6_found": p6_found, "p6_items": p6_items}
 
 #: Where SQL can't express an operator, its tests hold it against brute force instead.
 SQL: dict[str, str] = {}
