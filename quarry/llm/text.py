@@ -57,3 +57,16 @@ def canonical_key(text: Column) -> Column:
     flat = F.regexp_replace(F.lower(F.translate(text, "ёЁ", "ее")), "[^0-9a-zа-яѐ-џґ+#;|]+", " ")
     parts = F.array_sort(F.filter(F.transform(F.split(flat, "[;|]"), lambda p: F.trim(p)), lambda p: p != ""))
     return F.when(easy, F.array_join(parts, ";")).otherwise(_parts_udf(F.when(~easy, text)))
+
+
+@F.pandas_udf(T.StringType())
+def _words_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in batches:
+        yield s.map(word_string, na_action="ignore").astype(object).where(s.notna(), None)
+
+
+def word_string_column(text: Column) -> Column:
+    """``word_string`` (with + and #) as a column: in the JVM for easy texts, by Arrow batches for the rest."""
+    easy = text.rlike(EASY)
+    flat = F.trim(F.regexp_replace(F.lower(F.translate(text, "ёЁ", "ее")), "[^0-9a-zа-яѐ-џґ+#]+", " "))
+    return F.when(easy, flat).otherwise(_words_udf(F.when(~easy, text)))
