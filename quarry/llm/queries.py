@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import golay, leakage, ledger
+from quarry.llm import golay, leakage, ledger, mojibake
 from quarry.storage import table
 
 # -- 1: near-duplicates -------------------------------------------------------------------------
@@ -30,6 +30,29 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(_p1_table("id_a").alias("table_name"), half("id_a").alias("id_a"), half("id_b").alias("id_b"))
 
 
+# -- 2: garbled text -----------------------------------------------------------------------------
+
+
+def p2_models(spark: SparkSession, d: str) -> mojibake.Models:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
+    sugg, block = table(spark, d, "skill_suggestion"), table(spark, d, "source_block")
+    values = sugg.select(F.col("suggested_name").alias("text")).unionAll(sugg.select("group_name")).unionAll(block.select("raw_title"))
+    return mojibake.train(docs, values)
+
+
+def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Affected values with their restored text and the chain of misreadings undone."""
+    sugg, block = table(spark, d, "skill_suggestion"), table(spark, d, "source_block")
+    field = lambda df, t, f: df.where(F.col(f).isNotNull()).select(F.lit(t).alias("table_name"), F.col("id").alias("row_id"), F.lit(f).alias("field_name"), F.col(f).alias("raw"))
+    rows = field(sugg, "skill_suggestion", "suggested_name").unionAll(field(sugg, "skill_suggestion", "group_name")).unionAll(field(block, "source_block", "raw_title"))
+    repair = mojibake.repair_column(p2_models(spark, d))
+    return rows.withColumn("r", repair("raw")).where("r.chain is not null").select("table_name", "row_id", "field_name", "raw", F.col("r.text").alias("restored"), F.col("r.chain").alias("chain")).distinct()
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_repaired(spark, d).select("table_name", "row_id", "field_name").distinct()
+
+
 # -- 3: duplicates hidden by formatting ----------------------------------------------------------
 
 
@@ -73,7 +96,7 @@ def p6_items(spark: SparkSession, d: str) -> DataFrame:
     return _p6(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_ledger": p3_ledger, "p6_found": p6_found, "p6_items": p6_items}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_ledger": p3_ledger, "p6_found": p6_found, "p6_items": p6_items}
 
 #: Where SQL can't express an operator, its tests hold it against brute force instead.
 SQL: dict[str, str] = {}
