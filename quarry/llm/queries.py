@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import golay, leakage, ledger, mojibake
-from quarry.storage import table
+from quarry.llm import golay, language, leakage, ledger, mixing, mojibake
+from quarry.storage import materialize, table
 
 # -- 1: near-duplicates -------------------------------------------------------------------------
 
@@ -96,7 +96,47 @@ def p6_items(spark: SparkSession, d: str) -> DataFrame:
     return _p6(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_ledger": p3_ledger, "p6_found": p6_found, "p6_items": p6_items}
+# -- 7: mixing sources ---------------------------------------------------------------------------
+
+
+def _p7(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sized documents, their mixture and the targets; topic is the profile, those with a number together."""
+    slug = F.when(F.col("profile_slug").rlike("^profile-[0-9]+$"), "numbered").otherwise(F.col("profile_slug"))
+    docs = table(spark, d, "documents").where("text is not null")
+    sized = materialize(docs.select(F.col("doc_id").alias("id"), "source", "lang", slug.alias("topic"), mixing.token_counter()("text").alias("tokens")), "sized")
+    targets = table(spark, d, "mix_target")
+    return sized, mixing.mix(sized, targets), targets
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _p7(spark, d)[1]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(*_p7(spark, d))
+
+
+# -- 8: languages --------------------------------------------------------------------------------
+
+
+def _p8(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
+    return language.segments(docs, language.train(docs))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p8(spark, d).where("lang is distinct from label").select(F.col("id").alias("doc_id"), "seg_no", "lang").distinct()
+
+
+def p8_segments(spark: SparkSession, d: str) -> DataFrame:
+    return _p8(spark, d).select(F.col("id").alias("doc_id"), "seg_no", "lang", "confidence")
+
+
+def p8_documents(spark: SparkSession, d: str) -> DataFrame:
+    return language.documents(_p8(spark, d)).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_ledger": p3_ledger, "p6_found": p6_found, "p6_items": p6_items, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_segments": p8_segments, "p8_documents": p8_documents}
 
 #: Where SQL can't express an operator, its tests hold it against brute force instead.
 SQL: dict[str, str] = {}
