@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import golay, language, leakage, ledger, mixing, mojibake
+from quarry.llm import canonical, golay, language, leakage, ledger, mixing, mojibake
 from quarry.storage import materialize, table
 
 # -- 1: near-duplicates -------------------------------------------------------------------------
@@ -79,6 +79,29 @@ def p3_ledger(spark: SparkSession, d: str) -> DataFrame:
     return both[0].unionByName(both[1])
 
 
+# -- 5: free-entered values to the canonical list ------------------------------------------------
+
+
+def _p5(spark: SparkSession, d: str) -> DataFrame:
+    """(table_name, row_id, value, skill_id) of the rows without a skill; 0 where the value names none."""
+    sugg = table(spark, d, "skill_suggestion").where("entity_type = 'skill' and canonical_skill_id is null").select(F.lit("skill_suggestion").alias("table_name"), F.col("id").alias("row_id"), F.col("suggested_name").alias("value"))
+    typed = table(spark, d, "typed_competency_skill").where("skill_id is null").select(F.lit("typed_competency_skill").alias("table_name"), F.col("id").alias("row_id"), F.col("source_skill_name").alias("value"))
+    rows = sugg.unionByName(typed)
+    skill, alias = table(spark, d, "skill"), table(spark, d, "skill_alias")
+    names = skill.select(F.col("id").alias("entry_id"), F.col("canonical_name").alias("name")).unionByName(alias.select(F.col("skill_id").alias("entry_id"), F.col("alias").alias("name")))
+    found = canonical.map_values(rows, names, skill.select(F.col("id").alias("entry_id"), "code"), p2_models(spark, d))
+    return rows.join(found, "value", "left").select("table_name", "row_id", "value", F.coalesce("entry_id", F.lit(0).cast("long")).alias("skill_id"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p5(spark, d).select("table_name", "row_id", "skill_id").distinct()
+
+
+def p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Values that name no skill, with the rows that hold them."""
+    return _p5(spark, d).where("skill_id = 0").groupBy("table_name", "value").agg(F.countDistinct("row_id").alias("records"))
+
+
 # -- 6: evaluation texts in the corpus -----------------------------------------------------------
 
 
@@ -136,7 +159,7 @@ def p8_documents(spark: SparkSession, d: str) -> DataFrame:
     return language.documents(_p8(spark, d)).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_ledger": p3_ledger, "p6_found": p6_found, "p6_items": p6_items, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_segments": p8_segments, "p8_documents": p8_documents}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_ledger": p3_ledger, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_found": p6_found, "p6_items": p6_items, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_segments": p8_segments, "p8_documents": p8_documents}
 
 #: Where SQL can't express an operator, its tests hold it against brute force instead.
 SQL: dict[str, str] = {}
