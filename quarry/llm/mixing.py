@@ -5,8 +5,7 @@ are raked: the cells' weights are scaled to the marginals of the sources, langua
 turn, no weight exceeding the source's cap of repeats, until they stand still; the sources come
 last, so their shares are met exactly wherever the caps allow. A document's weight is its expected
 number of uses. Uses are drawn by systematic sampling along the running sum of fractional uses, in
-order of size within hashed strata, so a source misses its share by little, and equal input gives
-equal output.
+order of size, so a source misses its share by little, and equal input gives equal output.
 """
 
 from __future__ import annotations
@@ -22,8 +21,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-#: Pieces of a source along which running sums are taken at once.
-STRATA = 256
+#: A source's running sum is taken over size classes, so many an octave, each in so many hashed parts.
+CLASSES, PARTS = 4, 128
 #: Languages and topics told apart; the rest are raked together as ``other``.
 MAX_VALUES = 200
 _MEMO = 500_000
@@ -141,11 +140,11 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:
     w = d.join(F.broadcast(docs.sparkSession.createDataFrame(table, "source string, lang string, topic string, weight double")), ["source", "lang", "topic"])
     whole = F.floor("weight")
     w = w.withColumn("whole", whole.cast("int")).withColumn("part", F.col("weight") - whole).withColumn("h", F.xxhash64("doc_id", F.lit(seed)))
-    w = w.withColumn("stratum", F.pmod("h", F.lit(STRATA)).cast("int"))
+    w = w.withColumn("stratum", (F.floor(F.log2("tokens") * CLASSES) * PARTS + F.pmod("h", F.lit(PARTS))).cast("int"))
     sums = w.groupBy("source", "stratum").agg(F.sum("part").alias("mass"))
     ahead = sums.select("source", "stratum", (F.sum("mass").over(Window.partitionBy("source").orderBy("stratum")) - F.col("mass")).alias("ahead"))
     run = F.sum("part").over(Window.partitionBy("source", "stratum").orderBy("tokens", "h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    s = w.withColumn("run", run).join(F.broadcast(ahead), ["source", "stratum"])  # at most STRATA rows a source
+    s = w.withColumn("run", run).join(F.broadcast(ahead), ["source", "stratum"])  # some 30 octaves x CLASSES x PARTS rows a source at most
     upto = F.col("ahead") + F.col("run") + 0.5
     extra = F.when(F.col("part") > 0, F.floor(upto) - F.floor(upto - F.col("part"))).otherwise(0)
     return s.withColumn("repeats", (F.col("whole") + extra).cast("int")).where("repeats > 0").select("doc_id", "source", "lang", "topic", "tokens", "repeats")
