@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 LANGUAGES = ["ru", "en", "uk", "de", "es"]
 #: At most so many documents of each label are the automata's labelled text.
 SAMPLE_DOCS = 600
+#: Longer documents are not sampled, which bounds the sample's size.
+SAMPLE_CHARS = 50_000
 #: A word belongs to a language's text if it is at least so common there as where it is most common, for labels are untrue in some rows.
 SHARE = 0.3
 #: Words seen less often in the sample teach nothing.
@@ -78,17 +80,18 @@ class Automaton:
 
     def phrases(self, text: str) -> int:
         """Number of longest matches a text is parsed into; a character that never occurs is one phrase."""
-        n, state = 1, self.next[0]
+        root = self.next[0]
+        n, state, inside = 0, root, False
         for ch in text:
             to = state.get(ch)
             if to is None:
-                n += state is not self.next[0]
-                to = self.next[0].get(ch)
-                if to is None:
-                    n += 1
-                    state = self.next[0]
-                    continue
-            state = self.next[to]
+                to, inside = root.get(ch), False
+            if not inside:
+                n += 1
+            if to is None:
+                state, inside = root, False
+            else:
+                state, inside = self.next[to], True
         return n
 
 
@@ -104,7 +107,11 @@ class Identifier:
         return {"vocabulary": self.vocabulary, "_automata": None, "_memo": {}}
 
     def word(self, word: str) -> tuple[int, ...] | None:
-        """Phrases of a word by language; None if no language needs fewer than another."""
+        """Phrases of a word by language; None if it tells nothing.
+
+        That is so if no language needs fewer than another, or if even the best needs more than one
+        phrase for three letters: then it is an invented name rather than a word.
+        """
         got = self._memo.get(word, 0)
         if got == 0:
             if self._automata is None:
@@ -112,27 +119,31 @@ class Identifier:
             if len(self._memo) > _MEMO:
                 self._memo.clear()
             counts = tuple(a.phrases(f" {word.lower()} ") for a in self._automata)
-            got = self._memo[word] = None if min(counts) == max(counts) else counts
+            got = self._memo[word] = None if min(counts) == max(counts) or min(counts) > max(1, len(word) // 3) else counts
         return got
 
-    def language(self, text: str) -> tuple[str | None, float]:
+    def language(self, text: str, label: str | None = None) -> tuple[str | None, float]:
         """(language, confidence) of a text: fewest phrases per character; (None, 0) for a text without letters.
 
-        The confidence is the runner-up's surplus of phrases as a share of its own. Of languages in a
-        tie the earlier in LANGUAGES wins, with confidence 0.
+        The confidence is the runner-up's surplus of phrases as a share of its own. In a tie, which
+        also a text of unknown words gives, the label wins if it is among the best, else (None, 0)
+        where no word tells anything, else the earlier in LANGUAGES; the confidence is 0.
         """
         found = _WORD.findall(text)
         if not found:
             return None, 0.0
-        sums = [0] * len(self.vocabulary)
+        names = list(self.vocabulary)
+        sums = [0] * len(names)
         for w in found:
             c = self.word(w)
             if c is not None:
                 sums = [a + b for a, b in zip(sums, c, strict=True)]
-        order = sorted(range(len(sums)), key=lambda k: (sums[k], k))
+        order = sorted(range(len(sums)), key=lambda k: (sums[k], names[k] != label, k))
         best = sums[order[0]]
+        if not any(sums) and names[order[0]] != label:
+            return None, 0.0
         second = sums[order[1]] if len(order) > 1 else best
-        return list(self.vocabulary)[order[0]], round((second - best) / second, 4) if second else 0.0
+        return names[order[0]], round((second - best) / second, 4) if second else 0.0
 
 
 def paragraphs(text: str) -> list[str]:
@@ -149,7 +160,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Identifier:
     """
     ids = docs.where(F.col("lang").isin(LANGUAGES)).select("id", "lang", F.xxhash64("id").alias("h"))
     few = reduce(DataFrame.unionAll, [ids.where(F.col("lang") == lang).orderBy("h", "id").limit(sample_docs) for lang in LANGUAGES])
-    rows = docs.select("id", "text").join(F.broadcast(few.select("id", "lang")), "id").where("text is not null").select("lang", "text").collect()
+    rows = docs.select("id", "text").join(F.broadcast(few.select("id", "lang")), "id").where(F.length("text") <= SAMPLE_CHARS).select("lang", "text").collect()
     counts = {lang: Counter() for lang in LANGUAGES}
     for lang, text in rows:
         counts[lang].update(w.lower() for w in _WORD.findall(text))
@@ -165,9 +176,9 @@ def _segments(identifier: Identifier):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, no, lang, conf, size = [], [], [], [], []
-            for row, text in enumerate(batch.column("text").to_pylist()):
+            for row, (text, label) in enumerate(zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True)):
                 for k, p in enumerate(paragraphs(text), 1):
-                    found, c = identifier.language(p)
+                    found, c = identifier.language(p, label)
                     if found:
                         at.append(row)
                         no.append(k)
