@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as X
 from quarry.operators import graph, mutate, similarity
 from quarry.storage import table
+from quarry.streaming import rollup
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -330,3 +331,10 @@ def replace_slice(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "skill_alias").select("id", "skill_id", "alias", "source").withColumn("group_id", F.lit(None).cast("bigint"))
     new = table(spark, d, "typed_competency_skill").where("source = 'live_snapshot' and skill_id is not null").select("id", "skill_id", F.col("source_skill_name").alias("alias"), "source")
     return mutate.replace_slice(a, F.col("source") == "live_snapshot", mutate.align(new, a))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS calls, round(sum(value)::DECIMAL(30,6)::DOUBLE, 2) AS value FROM events GROUP BY 1, 2")
+def windowed_usage(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly usage; the same function serves a stream."""
+    w = rollup.windowed_usage(table(spark, d, "events").select("ts", "event_type", "value"))
+    return w.withColumn("value", F.round("value", 2)).withColumn("start", F.col("start").cast("timestamp_ntz"))

@@ -13,18 +13,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own: dict[str, str] = {}
+_written: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as named by ``spark.checkpoint.dir``.
 
-    The setting is read from the session and then from the context. Only where it is
-    unset (tests, one machine) is an own folder created and remembered.
+    The setting is read from the session and then from the context. Where it is unset, one machine
+    gets a folder of its own, and a cluster a folder in its warehouse, which all executors reach.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="quarry-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+            _own[app] = tempfile.mkdtemp(prefix="quarry-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/quarry-{app}"
+        found = _own[app]
     return found.rstrip("/")
 
 
@@ -35,6 +40,16 @@ def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables ``materialize`` has written in this process; call it once their readers are done."""
+    jvm, done = spark.sparkContext._jvm, 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        done += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return done
