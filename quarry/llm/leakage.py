@@ -165,28 +165,38 @@ def _exact(index: Index, strings: list[str], doc, item, diag, pos) -> set[tuple[
     return found
 
 
-def _edited(index: Index, strings: list[str], doc, item, diag) -> set[tuple[int, int, int]]:
-    """(document, item, edits) of retained bands in which a window aligns within the budget."""
-    e = index.edits
+def _edited(index: Index, strings: list[str], doc, item, diag, pos) -> set[tuple[int, int, int]]:
+    """(document, item, edits) of bands retained by the bound in which a window aligns within the budget.
+
+    Of a window that matches, every part as long as the shortest window matches too, so the bound has
+    to be reached within that length; only windows that meet such a stretch are aligned.
+    """
+    e, q = index.edits, index.q
+    span = index.need - 1 + q * (e + 1) - q
     cell = np.floor_divide(diag, e + 1)
-    both = [np.concatenate(x) for x in ((doc, doc), (item, item), (cell, cell - 1))]
-    bands, count = np.unique(np.stack(both, axis=1), axis=0, return_counts=True)
+    both = [np.concatenate(x) for x in ((doc, doc), (item, item), (cell, cell - 1), (pos, pos))]
+    rows = np.unique(np.stack(both, axis=1), axis=0)
+    if len(rows) < index.need:
+        return set()
+    ahead = rows[index.need - 1 :]
+    first = rows[: len(ahead)]
+    dense = np.flatnonzero((ahead[:, :3] == first[:, :3]).all(axis=1) & (ahead[:, 3] - first[:, 3] <= span))
+    stretches: dict[tuple[int, int, int], tuple[int, int]] = {}
+    for k in dense:
+        band = tuple(map(int, rows[k, :3]))
+        lo, hi = stretches.get(band, (1 << 30, -1))
+        stretches[band] = (min(lo, int(rows[k, 3])), max(hi, int(rows[k + index.need - 1, 3]) + q))
     best: dict[tuple[int, int], int] = {}
-    for d, i, b in bands[count >= index.need]:
-        key = (int(d), int(i))
-        text, it = f" {strings[d]} ", index.texts[i]
-        limit = min(e, best.get(key, e + 1) - 1)
-        if limit < 0:
-            continue
-        ends = index.window_end[i]
-        for s in [k for k, ch in enumerate(it) if ch == " " and ends[k] <= len(it)]:
-            centre = int(b) * (e + 1) + e + s
-            dist = banded_distance(it[s : ends[s]], text, centre, 2 * e + 1, limit)
+    for (d, i, b), (lo, hi) in sorted(stretches.items()):
+        text, it, ends = f" {strings[d]} ", index.texts[i], index.window_end[i]
+        limit = min(e, best.get((d, i), e + 1) - 1)
+        for s in [k for k in range(min(hi, len(it))) if it[k] == " " and lo < ends[k] <= len(it)]:
+            if limit < 0:
+                break
+            dist = banded_distance(it[s : ends[s]], text, b * (e + 1) + e + s, 2 * e + 1, limit)
             if dist <= limit:
-                best[key] = dist
+                best[d, i] = dist
                 limit = dist - 1
-                if limit < 0:
-                    break
     return {(d, i, n) for (d, i), n in best.items()}
 
 
@@ -200,7 +210,7 @@ def _search(index: Index):
                 found = _exact(index, strings, doc, item, diag, pos)
                 if index.edits:
                     sure = {(d, i) for d, i, _ in found}
-                    found |= {x for x in _edited(index, strings, doc, item, diag) if x[:2] not in sure}
+                    found |= {x for x in _edited(index, strings, doc, item, diag, pos) if x[:2] not in sure}
                 if found:
                     d, i, n = map(list, zip(*sorted(found), strict=True))
                     yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(d)), pa.array(index.ids[i]), pa.array(n, pa.int32())], names=["doc_id", "item_id", "edits"])
