@@ -57,6 +57,40 @@ def sequence_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
         yield pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if isinstance(x, str) and isinstance(y, str) else None for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+@F.pandas_udf(T.StringType())
+def word_sorted(texts: pd.Series) -> pd.Series:
+    """The text's words, split at any blank, in order; null for null."""
+    return texts.map(lambda t: " ".join(sorted(t.split())) if isinstance(t, str) else None)
+
+
+def _ratio_candidates(keys: DataFrame, names: DataFrame, ratio_min: float) -> DataFrame:
+    """(k, n) of all word-sorted keys (k) and names (n) that can reach the Indel ratio, and some others; both distinct.
+
+    A ratio of at least ``ratio_min`` percent allows ``(1 - ratio_min / 100)`` edits a character of both,
+    each of which touches one piece of the name at most. A name is cut into one piece more than the
+    edits that its longest partner allows, so a partner holds a piece unchanged, moved by no more than
+    the edits. A name of fewer characters than pieces has an empty piece, which every key holds.
+    """
+    share = 1 - ratio_min / 100
+    ln, lk = F.length("n"), F.length("k")
+    longest = F.floor(ln * (200 - ratio_min) / ratio_min + 1e-9)
+    sized = names.withColumn("ln", ln).withColumn("m", (F.floor((ln + longest) * share + 1e-9) + 1).cast("int"))
+    cut = sized.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    start = F.floor(F.col("i") * F.col("ln") / F.col("m"))
+    end = F.floor((F.col("i") + 1) * F.col("ln") / F.col("m"))
+    pieces = cut.select("n", "ln", start.cast("int").alias("at_n"), (end - start).cast("int").alias("size"))
+    pieces = materialize(pieces.withColumn("piece", F.expr("substring(n, at_n + 1, size)")), "pieces")
+    # an empty piece is joined once, whatever the position
+    sizes = [r[0] for r in pieces.select("size").distinct().collect()]
+    at = F.explode(F.sequence(F.lit(0), F.col("lk") - F.col("size")))
+    held = keys.withColumn("lk", lk).withColumn("size", F.explode(F.array(*[F.lit(x) for x in sizes]).cast("array<int>"))).where("size <= lk and size > 0")
+    held = held.select("k", "lk", "size", at.alias("at_k")).select("k", "lk", "at_k", F.expr("substring(k, at_k + 1, size)").alias("piece"))
+    held = held.unionByName(keys.select("k", lk.alias("lk"), F.lit(0).alias("at_k"), F.lit("").alias("piece")))
+    near = F.least("ln", "lk") * (200 - ratio_min) + 1e-6 >= F.greatest("ln", "lk") * ratio_min
+    moved = (F.col("size") == 0) | (F.abs(F.col("at_n") - F.col("at_k")) <= (F.col("ln") + F.col("lk")) * share + 1e-9)
+    return held.join(pieces, "piece").where(near & moved).select("k", "n").distinct()
+
+
 def jaccard_pairs(items: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity), a < b, of all items (id, tokens) whose sets reach the threshold, exactly.
 
@@ -81,19 +115,18 @@ def resolve_cascade(values: DataFrame, entries: DataFrame, aliases: DataFrame, f
     """(key, resolution, entry_id, score) of values (key): exact name, else alias, else fuzzy, else new.
 
     ``entries`` and ``aliases`` have entry_id and key; of equal keys the smallest entry counts for
-    names and the largest for aliases. Fuzzy compares only values left over, once each, with keys
-    that share one of their words, within the length bound that the ratio
-    implies; ties go to the smaller entry. A null or empty key is new.
+    names and the largest for aliases. Fuzzy meets every pair of a value left over and an entry
+    whose ratio reaches ``fuzzy_min`` (above 0); ties go to the smaller entry. A null or empty key is new.
     """
     v = values.select("key").distinct()
     exact = entries.groupBy("key").agg(F.min("entry_id").alias("exact"))
     alias = aliases.groupBy("key").agg(F.max("entry_id").alias("alias"))
     known = materialize(v.join(exact, "key", "left").join(alias, "key", "left"), "cascade")
-    rest = known.where("exact is null and alias is null and key != ''").select("key", F.explode(F.array_distinct(F.split("key", " "))).alias("word")).where("word != ''")
-    names = entries.groupBy(F.col("key").alias("name")).agg(F.min("entry_id").alias("entry_id")).select("name", "entry_id", F.explode(F.array_distinct(F.split("name", " "))).alias("word"))
-    la, lb = F.length("key"), F.length("name")
-    cand = rest.join(names, "word").where(F.least(la, lb) * (200 - fuzzy_min) >= F.greatest(la, lb) * fuzzy_min).select("key", "name", "entry_id").distinct()
-    best = cand.withColumn("score", token_sort_ratio("key", "name")).where(F.col("score") >= fuzzy_min).groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), "entry_id")).alias("f"))
+    rest = materialize(known.where("exact is null and alias is null and key != ''").select("key", word_sorted("key").alias("k")), "rest")
+    names = materialize(entries.where("key is not null").groupBy(word_sorted("key").alias("n")).agg(F.min("entry_id").alias("entry_id")), "names")
+    cand = _ratio_candidates(rest.select("k").distinct(), names.select("n"), fuzzy_min)
+    scored = cand.withColumn("score", token_sort_ratio("k", "n")).where(F.col("score") >= fuzzy_min).join(names, "n")
+    best = scored.groupBy("k").agg(F.min(F.struct((-F.col("score")).alias("s"), "entry_id")).alias("f")).join(rest, "k").select("key", "f")
     out = known.join(best, "key", "left")
     kind = F.when(F.col("exact").isNotNull(), "matched").when(F.col("alias").isNotNull(), "alias").when(F.col("f").isNotNull(), "fuzzy").otherwise("new")
     score = F.when(F.col("exact").isNotNull() | F.col("alias").isNotNull(), F.lit(100.0)).otherwise(-F.col("f.s"))

@@ -117,6 +117,27 @@ def test_cascade(spark):
     assert rows(similarity.resolve_cascade(v, e, a, 85.0), "key", "resolution", "entry_id") == [("", "new", None), ("data sql", "alias", 2), ("nothing", "new", None), ("sql basics", "matched", 1), ("sql basicz", "fuzzy", 1)]
 
 
+@pytest.mark.parametrize("least", [90.0, 70.0, 30.0])
+def test_cascade_meets_every_pair_of_the_ratio(spark, least):
+    rnd = random.Random(7)
+    words = ["контроль", "графиков", "внедрение", "гипотез", "очищение", "шаблонов", "sql", "и", "ци"]
+    names = sorted({" ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 5))) for _ in range(40)} | {"a", "ab", "abc"})
+    keys = {"конртоль граафиков", "внедрение\u00a0гипотез", "«очищение шаблонов»", "sql-контроль", "ba", "abd", "\u00a0"}
+    for n in names:
+        k = list(rnd.choice([" ", "\u00a0", "-", "  "]).join(rnd.sample(n.split(), len(n.split()))))
+        for _ in range(rnd.randrange(4)):
+            at = rnd.randrange(len(k))
+            k[at : at + rnd.randrange(2)] = rnd.choice("абв")
+        keys.add("".join(k))
+    keys = sorted(keys - set(names))
+    got = similarity.resolve_cascade(spark.createDataFrame([(k,) for k in keys], "key string"), spark.createDataFrame(list(enumerate(names)), "entry_id long, key string"), spark.createDataFrame([], "entry_id long, key string"), least)
+    want = []
+    for k in keys:
+        s, i = min((-similarity.sorted_ratio(k, n), i) for i, n in enumerate(names))
+        want.append((k, "fuzzy", i, -s) if -s >= least else (k, "new", None, None))
+    assert rows(got, "key", "resolution", "entry_id", "score") == sorted(want, key=repr)
+
+
 def test_upsert_rules(spark):
     old = spark.createDataFrame([(1, "a", None, "x"), (2, "b", 5, "y"), (None, "n", 0, "z")], "k int, p string, q int, r string")
     new = spark.createDataFrame([(1, "A", 7), (3, "C", 8), (None, "N", 1)], "k int, p string, q int")
