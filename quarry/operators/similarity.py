@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import difflib
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -163,3 +165,77 @@ def greedy_absorb(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
     for x in absorbed[1:]:
         out = out.unionByName(x)
     return out
+
+
+_ACTIONS = {"формализация": "формулирование", "интеграция": "настройка", "setup": "настройка"}
+_DROPPED = {"для", "задач", "user", "story", "workflow", "process", "простого", "базового"}
+#: The first suffix that fits is cut, so their order counts.
+_SUFFIXES = "иями ями ами ого его ому ему ыми ими ий ый ой ая ое ые ов ев ам ям ах ях ия ие иям ию ии ть ти ция ции цией".split()
+
+
+def _candidate_name(name: str) -> str:
+    t = unicodedata.normalize("NFKC", name).casefold().replace("ё", "е")
+    for old, new in (("‑", "-"), ("–", "-"), ("—", "-"), ("ci cd", "ci/cd"), ("ci / cd", "ci/cd"), ("m v p", "mvp"), ("ok r", "okr")):
+        t = t.replace(old, new)
+    return " ".join(re.sub(r"[^0-9a-zа-я+\-/ ]+", " ", re.sub(r"\([^)]*\)", " ", t)).split())
+
+
+def _stem(word: str) -> str:
+    word = _ACTIONS.get(word, word)
+    if word in _DROPPED:
+        return ""
+    return next((word[: -len(x)] for x in _SUFFIXES if len(word) > len(x) + 3 and word.endswith(x)), word)
+
+
+def _walk(rows: pd.DataFrame) -> pd.DataFrame:
+    """One run of the reference's walk: a candidate goes to the first kept one like it, which takes over its area if it has none."""
+    bits: dict[tuple[str, int], int] = {}
+    kept: list[list] = []
+    out = []
+    for r in rows.sort_values("id").itertuples(index=False):
+        name, area, group = _candidate_name(r.name), r.area if isinstance(r.area, str) else "", (r.grp if isinstance(r.grp, str) else "").strip().casefold()
+        words = [w for w in map(_stem, name.split()) if w]
+        text, own = " ".join(words), set(words)
+        # a bit for each occurrence of each character: common bits are the most characters that can match
+        bag, seen = 0, {}
+        for ch in text:
+            seen[ch] = seen.get(ch, 0) + 1
+            bag |= 1 << bits.setdefault((ch, seen[ch]), len(bits))
+        matcher, mine = difflib.SequenceMatcher(None, "", text), area.strip()
+        for anchor in kept:
+            id_, name_, area_, group_, text_, own_, bag_ = anchor
+            there = area_.strip()
+            if there != mine if there and mine else not there and not mine and group_ and group and group_ != group:
+                continue
+            if name_ != name:
+                if not own_ or not own:
+                    continue
+                both = len(own & own_)
+                share = both / (len(own) + len(own_) - both)
+                inside = both >= 2 and both == min(len(own), len(own_))
+                if share < (0.72 if inside else 0.86):
+                    least = 0.72 if inside else 0.93
+                    if 2.0 * (bag & bag_).bit_count() / (len(text) + len(text_)) < least:
+                        continue
+                    matcher.set_seq1(text_)
+                    if matcher.ratio() < least:
+                        continue
+            if not area_ and area:
+                anchor[2] = area
+            out.append((r.id, id_))
+            break
+        else:
+            kept.append([r.id, name, area, group, text, own, bag])
+    return pd.DataFrame(out, columns=["id", "anchor"]).astype("int64")
+
+
+def absorb_candidates(rows: DataFrame) -> DataFrame:
+    """(id, anchor): each candidate that an earlier kept one of its run absorbs; rows have id, run, name, area and grp.
+
+    Two candidates of one area (of one group where neither has an area) are alike if their names are
+    equal, or the Jaccard share of their stems is 0.86 or the sequence ratio 0.93, or one holds the
+    other's two or more stems and either is 0.72. An anchor takes over an area, which changes
+    whom it absorbs later, so a run is walked in order, in one task; runs are walked side by side.
+    Rows of a null run are one run. Null names belong to nothing.
+    """
+    return rows.where("name is not null").select("id", "run", "name", "area", "grp").groupBy("run").applyInPandas(_walk, "id long, anchor long")

@@ -188,9 +188,9 @@ def cascade_resolve(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def greedy_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """Catalog names absorbed by the first earlier name of a token similarity of 0.5 or more that is itself kept."""
-    s = table(spark, d, "skill").select("id", X.token_set(F.col("canonical_name")).alias("tokens"))
-    return similarity.greedy_absorb(similarity.jaccard_pairs(s, 0.5).select("a", "b"))
+    """Atomic skill suggestions absorbed by the first kept one of their brief that is like them."""
+    s = table(spark, d, "skill_suggestion").where("entity_type = 'skill' and atomicity = 'atomic'")
+    return similarity.absorb_candidates(s.select("id", F.col("brief_id").alias("run"), F.col("suggested_name").alias("name"), F.col("coverage_area").alias("area"), F.col("group_name").alias("grp")))
 
 
 @query("""

@@ -104,6 +104,25 @@ def test_greedy_absorption_follows_the_order(spark):
     assert similarity.greedy_absorb(pairs.limit(0)).count() == 0
 
 
+def test_candidates_are_absorbed_by_all_rules_in_order(spark):
+    data = [
+        (1, 1, "Анализ рисков проекта", None, "G"),
+        (2, 1, "анализ  рисков (проекта) проекта", "ядро", "H"),  # equal name; the anchor takes over the area
+        (3, 1, "Анализ рисков проекта", "опция", "G"),  # so another area is another skill
+        (4, 1, "Анализ рисоков проекта", "ядро", None),  # ratio
+        (5, 1, "Анализ рисков крупного проекта", "ядро", None),  # subset
+        (6, 1, "Моделирование сезонных графиков", None, "G"),
+        (7, 1, "Моделирование сезонных графиков", None, "K"),  # another group without areas
+        (8, 2, "Анализ рисков проекта", "ядро", "G"),  # another brief
+        (9, None, "для задач", "ядро", None),
+        (10, None, None, "ядро", None),
+        (11, None, "Для задач", "", None),
+    ]
+    df = spark.createDataFrame(data, "id long, run long, name string, area string, grp string")
+    assert rows(similarity.absorb_candidates(df)) == [(11, 9), (2, 1), (4, 1), (5, 1)]
+    assert similarity.absorb_candidates(df.limit(0)).count() == 0
+
+
 def test_ratios(spark):
     df = spark.createDataFrame([("b a", "a b"), ("abc", "abd"), ("", ""), (None, "a")], "x string, y string")
     assert [r[0] for r in df.select(similarity.token_sort_ratio("x", "y")).collect()] == [100.0, pytest.approx(200 * 2 / 6), 100.0, None]
