@@ -23,8 +23,6 @@ from pyspark.sql.window import Window
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: A source's running sum is taken over size classes, so many an octave, each in so many hashed parts.
 CLASSES, PARTS = 4, 128
-#: Languages and topics told apart; the rest are raked together as ``other``.
-MAX_VALUES = 200
 _MEMO = 500_000
 
 
@@ -83,23 +81,24 @@ def rake(cells: pd.DataFrame, targets: dict[str, tuple[float, int]], rounds: int
     supply = u.groupby("source")["tokens"].sum()
     total = sum(share[s][0] for s in supply.index)
     size = min(supply[s] * share[s][1] / (share[s][0] / total) for s in supply.index)
+    code = {by: pd.factorize(u[by])[0] for by in ("source", "lang", "topic")}
     goal = {"source": pd.Series({s: size * share[s][0] / total for s in supply.index})}
     for by in ("lang", "topic"):
         t = u.groupby(by)["tokens"].sum()
         goal[by] = t / t.sum() * size
-    cap = u["source"].map(lambda s: float(share[s][1]))
-    w = u["source"].map(goal["source"] / supply)
-    tok = u["tokens"].astype(float)
+    want = {by: u[by].map(goal[by]).to_numpy(float) for by in code}
+    cap = u["source"].map(lambda s: float(share[s][1])).to_numpy(float)
+    w = u["source"].map(goal["source"] / supply).to_numpy(float)
+    tok = u["tokens"].to_numpy(float)
 
-    def fit(w: pd.Series, by: str) -> pd.Series:
+    def fit(w: np.ndarray, by: str) -> np.ndarray:
         # scaling under a cap: what capped cells can't take goes to the others of the margin
+        at = code[by]
         for _ in range(20):
-            have = (w * tok).groupby(u[by]).transform("sum")
-            want = u[by].map(goal[by])
             free = w < cap - 1e-12
-            fixed = (w * tok).where(~free, 0.0).groupby(u[by]).transform("sum")
-            loose = have - fixed
-            factor = ((want - fixed) / loose).where(free & (loose > 0), 1.0).clip(lower=0.0)
+            fixed = np.bincount(at, np.where(free, 0.0, w * tok))[at]
+            loose = np.bincount(at, w * tok)[at] - fixed
+            factor = np.divide(want[by] - fixed, loose, out=np.ones_like(w), where=free & (loose > 0)).clip(min=0.0)
             new = np.minimum(w * factor, cap)
             if np.abs(new - w).max() <= tolerance * max(1.0, w.max()):
                 return new
@@ -116,22 +115,16 @@ def rake(cells: pd.DataFrame, targets: dict[str, tuple[float, int]], rounds: int
     return c
 
 
-def _largest(d: DataFrame, by: str) -> DataFrame:
-    """All but the MAX_VALUES values with most tokens become ``other``."""
-    top = d.groupBy(by).agg(F.sum("tokens").alias("t")).orderBy(F.desc("t"), by).limit(MAX_VALUES).select(by, F.lit(True).alias("_top"))
-    return d.join(F.broadcast(top), by, "left").withColumn(by, F.when(F.col("_top"), F.col(by)).otherwise("other")).drop("_top")
-
-
 def mix(docs: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:
     """(doc_id, source, lang, topic, tokens, repeats) of the documents used at least once.
 
     ``docs`` has id (unique), source, lang, topic and tokens, and is read three times: pass a written
     table. Documents of no tokens, of a null source or of a source without target are not used. A
-    null language or topic is a value of its own, ``und`` or ``none``. The cells number at most
-    targets x MAX_VALUES x MAX_VALUES, so they fit the driver.
+    null language or topic is a value of its own, ``und`` or ``none``. Every language and
+    topic is raked as itself; the driver holds the cells that occur, at most sources x languages x
+    topics.
     """
     d = docs.where("tokens > 0 and source is not null").select(F.col("id").alias("doc_id"), "source", F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("topic", F.lit("none")).alias("topic"), "tokens")
-    d = _largest(_largest(d, "lang"), "topic")
     named = targets.where("source is not null and target_share is not null and max_repeat is not null")
     goal = {r["source"]: (float(r["target_share"]), int(r["max_repeat"])) for r in named.collect()}
     cells = d.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")).join(F.broadcast(named.select("source").distinct()), "source")

@@ -123,10 +123,9 @@ def p6_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p7(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sized documents, their mixture and the targets; topic is the profile, those with a number together."""
-    slug = F.when(F.col("profile_slug").rlike("^profile-[0-9]+$"), "numbered").otherwise(F.col("profile_slug"))
+    """Sized documents, their mixture and the targets; topic is the profile."""
     docs = table(spark, d, "documents").where("text is not null")
-    sized = materialize(docs.select(F.col("doc_id").alias("id"), "source", "lang", slug.alias("topic"), mixing.token_counter()("text").alias("tokens")), "sized")
+    sized = materialize(docs.select(F.col("doc_id").alias("id"), "source", "lang", F.col("profile_slug").alias("topic"), mixing.token_counter()("text").alias("tokens")), "sized")
     targets = table(spark, d, "mix_target")
     return sized, mixing.mix(sized, targets), targets
 

@@ -4,7 +4,7 @@ import random
 import pandas as pd
 import pytest
 
-from quarry.llm import language, mixing
+from quarry.llm import language, mixing, queries
 
 TARGETS = [("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.2, 5), ("gone", 0.1, 3), (None, 0.1, 1)]
 
@@ -100,3 +100,12 @@ def test_held_out_accuracy(spark):
     held = F.pmod(F.xxhash64("id"), F.lit(2)) == 0
     docs_ = language.documents(language.segments(d.where(held & F.col("lang").isin(language.LANGUAGES)), language.train(d.where(~held)))).collect()
     assert sum(r.lang == r.label for r in docs_) >= 0.85 * len(docs_)
+
+
+@pytest.mark.skipif(not os.path.exists(mixing.VOCABULARY), reason="no tokenizer files")
+def test_every_profile_is_a_topic_of_its_own(spark, tmp_path):
+    rows = [(i, f"s{i % 2}", "ru", f"profile-{i % 230}", "слово " * (1 + i % 5)) for i in range(920)]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, profile_slug string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("s0", 0.5, 1), ("s1", 0.5, 1)], "source string, target_share double, max_repeat int").write.parquet(str(tmp_path / "mix_target.parquet"))
+    got = queries.p7_mixture(spark, str(tmp_path))
+    assert {r.topic for r in got.select("topic").distinct().collect()} > {f"profile-{k}" for k in range(200)}
