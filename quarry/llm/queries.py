@@ -57,11 +57,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p3(spark: SparkSession, d: str) -> list[tuple[DataFrame, DataFrame]]:
+    """Keyed rows and ledger lines of the numbered and of the named records, delivered in two batches each."""
     ind, cache = table(spark, d, "indicator"), table(spark, d, "evidence_query_cache")
-    at = ledger.halves(ind)
-    numbered = ledger.fold_scopes([ledger.keyed(ind, f"indicator.{c}", F.col(c), F.col("id"), at) for c in ("text", "normalized_text")])
-    named = ledger.fold_scopes([ledger.keyed(cache, "evidence_query_cache.normalized_query", F.col("normalized_query"), F.col("cache_key"), ledger.halves(cache))])
-    return [numbered, named]
+    at, loaded = ledger.halves(ind), F.col("loaded_at")
+    numbered = [ledger.keyed(ind, f"indicator.{c}", F.col(c), F.col("id"), at, loaded) for c in ("text", "normalized_text")]
+    named = [ledger.keyed(cache, "evidence_query_cache.normalized_query", F.col("normalized_query"), F.col("cache_key"), ledger.halves(cache), loaded)]
+    return [(rows, book.lines()) for rows, book in map(ledger.fold, (numbered, named))]
 
 
 def _p3_scope():
@@ -74,8 +75,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_ledger(spark: SparkSession, d: str) -> DataFrame:
-    """One record per distinct content, with the number of its records."""
-    both = [x[1].select(*_p3_scope(), F.col("kept").cast("string").alias("kept_key"), F.col("n").alias("records")) for x in _p3(spark, d)]
+    """One record per distinct content, with the number of its records and when the first was loaded."""
+    both = [x[1].select(*_p3_scope(), F.col("kept").cast("string").alias("kept_key"), F.col("n").alias("records"), F.col("since").alias("first_loaded")) for x in _p3(spark, d)]
     return both[0].unionByName(both[1])
 
 
@@ -160,5 +161,52 @@ def p8_documents(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_ledger": p3_ledger, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_found": p6_found, "p6_items": p6_items, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_segments": p8_segments, "p8_documents": p8_documents}
 
-#: Where SQL can't express an operator, its tests hold it against brute force instead.
-SQL: dict[str, str] = {}
+# -- SQL -----------------------------------------------------------------------------------------
+
+_WIDE, _NARROW = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F)))
+
+
+def _sql_words(x: str, also: str = "") -> str:
+    """Words of a text. DuckDB has NFC only: of the compatibility forms, wide letters, the number sign and the ellipsis are mapped, blanks part words anyway."""
+    compatible = f"replace(replace(translate({x}, '{_WIDE}', '{_NARROW.replace(chr(39), chr(39) * 2)}'), '№', 'No'), '…', '...')"
+    shown = f"regexp_replace(nfc_normalize({compatible}), '\\p{{Cf}}', '', 'g')"
+    return f"regexp_extract_all(replace(lower({shown}), 'ё', 'е'), '[\\p{{L}}\\p{{N}}{also}]+')"
+
+
+_SQL_P1 = f"""
+WITH t AS (SELECT 'indicator' AS table_name, id, array_to_string({_sql_words('text', '+#')}, ' ') AS ws FROM indicator WHERE text IS NOT NULL
+  UNION ALL SELECT 'skill_suggestion', id, array_to_string({_sql_words('suggested_name', '+#')}, ' ') FROM skill_suggestion WHERE entity_type IS DISTINCT FROM 'skill' AND suggested_name IS NOT NULL),
+ u AS (SELECT *, dense_rank() OVER (ORDER BY table_name, ws) AS rep FROM t WHERE ws <> ''),
+ g AS (SELECT DISTINCT rep, table_name, unnest(list_distinct(list_transform(range(1, length(ws) - 1), lambda i: substr(ws, i, 3)))) AS gram FROM u WHERE length(ws) >= 3),
+ n AS (SELECT rep, count(*) AS n FROM g GROUP BY rep),
+ f AS (SELECT table_name, gram, count(*) AS df FROM g GROUP BY table_name, gram),
+ o AS (SELECT g.*, row_number() OVER (PARTITION BY rep ORDER BY df, gram) AS place FROM g JOIN f USING (table_name, gram)),
+ p AS (SELECT o.*, n.n FROM o JOIN n USING (rep) WHERE place <= n - ceil(0.7 * n - 1e-9) + 1),
+ c AS (SELECT DISTINCT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb FROM p a JOIN p b ON a.table_name = b.table_name AND a.gram = b.gram AND a.rep < b.rep WHERE least(a.n, b.n) >= 0.7 * greatest(a.n, b.n) - 1e-9),
+ k AS (SELECT a, b, na, nb, count(*) AS met FROM c JOIN g x ON x.rep = a JOIN g y ON y.rep = b AND y.gram = x.gram GROUP BY ALL),
+ s AS (SELECT a, b, met / (na + nb - met) AS similarity FROM k WHERE met / (na + nb - met) >= 0.7)"""
+
+
+def _sql_p3(table_name: str, field: str, key: str) -> str:
+    canon = f"array_to_string(list_sort(list_filter(list_transform(regexp_split_to_array({field}, '[;|]'), lambda p: array_to_string({_sql_words('p', '+#')}, ' ')), lambda p: p <> '')), ';')"
+    return f"SELECT '{table_name}' AS table_name, '{field}' AS field_name, {key} AS key, {canon} AS canon, loaded_at FROM {table_name} WHERE {field} IS NOT NULL AND {key} IS NOT NULL"
+
+
+def _sql_p3_all(columns: str, rest: str) -> str:
+    kinds = ([("indicator", "text", "id"), ("indicator", "normalized_text", "id")], [("evidence_query_cache", "normalized_query", "cache_key")])
+    return " UNION ALL ".join(f"SELECT {columns} FROM (SELECT * FROM (" + " UNION ALL ".join(_sql_p3(*k) for k in some) + f") WHERE canon <> '') {rest}" for some in kinds)
+
+
+_SQL_P6 = f"""
+WITH i AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS win FROM (SELECT item_id, {_sql_words('text')} AS w FROM eval_item WHERE text IS NOT NULL)),
+ d AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS win FROM (SELECT doc_id, {_sql_words('text')} AS w FROM documents WHERE text IS NOT NULL)),
+ l AS (SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (win))"""
+
+#: Where SQL can't express an operator, its tests hold it against brute force, a round trip or held-out rows instead.
+SQL: dict[str, str] = {
+    "p1_found": _SQL_P1 + " SELECT x.table_name, least(x.id, y.id) AS id_a, greatest(x.id, y.id) AS id_b FROM s JOIN u x ON x.rep = s.a JOIN u y ON y.rep = s.b",
+    "p3_found": _sql_p3_all("DISTINCT table_name, field_name, kept_key::VARCHAR AS kept_key, key::VARCHAR AS copy_key", "").replace("(SELECT * FROM (", "(SELECT *, min(key) OVER (PARTITION BY table_name, field_name, canon) AS kept_key FROM (").replace("canon <> '') ", "canon <> '') WHERE key <> kept_key"),
+    "p3_ledger": _sql_p3_all("table_name, field_name, min(key)::VARCHAR AS kept_key, count(*) AS records, min(loaded_at) AS first_loaded", "GROUP BY table_name, field_name, canon"),
+    "p6_found": _SQL_P6 + " SELECT doc_id, item_id FROM l",
+    "p6_items": _SQL_P6 + " SELECT item_id, count(*) AS documents FROM l GROUP BY item_id",
+}
