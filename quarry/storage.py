@@ -33,23 +33,54 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, for ``release`` to delete."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+#: Spark's setting that deletes an execution's shuffle files as soon as its output is written.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    This cuts the lineage durably: a lost executor re-reads files, it recomputes nothing.
+    This cuts the lineage durably: a lost executor re-reads files, it recomputes nothing. The shuffle
+    files of the writing itself are deleted when it is done, so disk holds one step at a time.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _written.append(path)
+    path = scratch(spark, label)
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of ``materialize`` that nothing will read again, such as an earlier round's; others are left alone."""
+    for t in tables:
+        path = getattr(t, "__dict__", {}).get("written_path")
+        if path in _written:
+            _written.remove(path)
+            _delete(t.sparkSession, path)
 
 
 def release(spark: SparkSession) -> int:
     """Delete the tables ``materialize`` has written in this process; call it once their readers are done."""
-    jvm, done = spark.sparkContext._jvm, 0
+    done = 0
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        done += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        done += _delete(spark, _written.pop())
     return done
