@@ -1,10 +1,11 @@
 """Languages of documents and their paragraphs by cross-parsing entropy.
 
-For each language a suffix automaton is built over its labelled text. A text is parsed against it
-from left to right into longest matches; the language that needs the fewest phrases per character
-wins. Words are parsed on their own, with a blank on either side, so the number of phrases of a
-word is the same wherever it stands and is kept between texts. Russian and Ukrainian words also
-enter their automaton in Latin transliteration, the others in Cyrillic one.
+For each language a suffix automaton is built over running labelled text. A paragraph is parsed
+against it from left to right into longest matches, across words; the language that needs the
+fewest phrases for the same characters wins. The step of an automaton over one word is kept, by the
+state it starts from, so that common phrases are parsed once. Russian and Ukrainian text also
+enters its automaton in Latin transliteration, the others in Cyrillic one. Words that no language
+knows any better, such as invented names, are left out where other words tell something.
 """
 
 from __future__ import annotations
@@ -12,17 +13,19 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.text import sampled
+from quarry.storage import materialize
+
 LANGUAGES = ["ru", "en", "uk", "de", "es"]
-#: At most so many documents of each label are the automata's labelled text.
+#: About so many documents of each label, whole, are the sample the automata's text is chosen from.
 SAMPLE_DOCS = 600
-#: Longer documents are not sampled, which bounds the sample's size.
-SAMPLE_CHARS = 50_000
+#: Running text is taken in pieces of so many words.
+PIECE = 12
 #: A word belongs to a language's text if it is at least so common there as where it is most common, for labels are untrue in some rows.
 SHARE = 0.3
 #: Words seen less often in the sample teach nothing.
@@ -78,72 +81,92 @@ class Automaton:
             last = cur
         self.next = nxt
 
-    def phrases(self, text: str) -> int:
-        """Number of longest matches a text is parsed into; a character that never occurs is one phrase."""
-        root = self.next[0]
-        n, state, inside = 0, root, False
+    def parse(self, text: str, state: int = 0) -> tuple[int, int]:
+        """(phrases begun, state after) of the parse into longest matches, going on from a state; state 0 is between phrases.
+
+        A character that never occurs is a phrase of its own.
+        """
+        nxt, n = self.next, 0
         for ch in text:
-            to = state.get(ch)
+            to = nxt[state].get(ch)
             if to is None:
-                to, inside = root.get(ch), False
-            if not inside:
+                to, n = nxt[0].get(ch, 0), n + 1
+            elif state == 0:
                 n += 1
-            if to is None:
-                state, inside = root, False
-            else:
-                state, inside = self.next[to], True
-        return n
+            state = to
+        return n, state
+
+    def phrases(self, text: str) -> int:
+        """Number of longest matches a text is parsed into."""
+        return self.parse(text)[0]
 
 
 class Identifier:
-    """Phrase counts of words by language, and the languages of texts."""
+    """Languages of texts by automata over running text; ``texts`` has lists of pieces by language."""
 
-    def __init__(self, vocabulary: dict[str, list[str]]):
-        self.vocabulary = vocabulary
+    def __init__(self, texts: dict[str, list[str]]):
+        self.texts = texts
         self._automata: list[Automaton] | None = None
-        self._memo: dict[str, tuple] = {}
 
     def __getstate__(self) -> dict:
-        return {"vocabulary": self.vocabulary, "_automata": None, "_memo": {}}
-
-    def word(self, word: str) -> tuple[int, ...] | None:
-        """Phrases of a word by language; None if it tells nothing.
-
-        That is so if no language needs fewer than another, or if even the best needs more than one
-        phrase for three letters: then it is an invented name rather than a word.
-        """
-        got = self._memo.get(word, 0)
-        if got == 0:
-            if self._automata is None:
-                self._automata = [Automaton(" " + " ".join(w for x in v for w in dict.fromkeys((x, transliterate(x, lang)))) + " ") for lang, v in self.vocabulary.items()]
-            if len(self._memo) > _MEMO:
-                self._memo.clear()
-            counts = tuple(a.phrases(f" {word.lower()} ") for a in self._automata)
-            got = self._memo[word] = None if min(counts) == max(counts) or min(counts) > max(1, len(word) // 3) else counts
+        return {"texts": self.texts, "_automata": None}
+
+    def _build(self) -> None:
+        self._automata, self._steps, self._words = [], [], {}
+        for lang, pieces in self.texts.items():
+            other = [" ".join(transliterate(w, lang) for w in p.split(" ")) for p in pieces]
+            self._automata.append(Automaton(f" {' '.join(pieces)} {' '.join(other)} "))
+            self._steps.append({})
+
+    def word(self, word: str) -> bool:
+        """Whether a word tells something: some language needs fewer phrases than another, and one for three letters at most."""
+        got = self._words.get(word)
+        if got is None:
+            if len(self._words) > _MEMO:
+                self._words.clear()
+            counts = [a.phrases(f" {word} ") for a in self._automata]
+            got = self._words[word] = min(counts) < max(counts) and min(counts) <= max(1, len(word) // 3)
         return got
 
+    def phrases(self, words: list[str]) -> list[int]:
+        """Phrases of running words by language. A word after another starts from the state the other left."""
+        out = []
+        for automaton, steps in zip(self._automata, self._steps, strict=True):
+            if len(steps) > _MEMO:
+                steps.clear()
+            n, state = automaton.parse(" ")
+            for w in words:
+                key = (state, w)
+                step = steps.get(key)
+                if step is None:
+                    step = steps[key] = automaton.parse(w + " ", state)
+                n += step[0]
+                state = step[1]
+            out.append(n)
+        return out
+
     def language(self, text: str, label: str | None = None) -> tuple[str | None, float]:
-        """(language, confidence) of a text: fewest phrases per character; (None, 0) for a text without letters.
+        """(language, confidence) of a text: fewest phrases for the same characters; (None, 0) for a text without letters.
 
-        The confidence is the runner-up's surplus of phrases as a share of its own. In a tie, which
-        also a text of unknown words gives, the label wins if it is among the best, else (None, 0)
-        where no word tells anything, else the earlier in LANGUAGES; the confidence is 0.
+        The confidence is the runner-up's surplus of phrases as a share of its own. In a tie the label
+        wins if it is among the best, else the earlier in LANGUAGES; the confidence is 0. Where no
+        word tells anything, the label stands if it is one of the languages, else all words are parsed
+        as they are, and the confidence is 0 too.
         """
         found = _WORD.findall(text)
         if not found:
             return None, 0.0
-        names = list(self.vocabulary)
-        sums = [0] * len(names)
-        for w in found:
-            c = self.word(w)
-            if c is not None:
-                sums = [a + b for a, b in zip(sums, c, strict=True)]
+        if self._automata is None:
+            self._build()
+        low = [w.lower() for w in found]
+        telling = [w for w in low if self.word(w)]
+        names = list(self.texts)
+        if not telling and label in names:
+            return label, 0.0
+        sums = self.phrases(telling or low)
         order = sorted(range(len(sums)), key=lambda k: (sums[k], names[k] != label, k))
-        best = sums[order[0]]
-        if not any(sums) and names[order[0]] != label:
-            return None, 0.0
-        second = sums[order[1]] if len(order) > 1 else best
-        return names[order[0]], round((second - best) / second, 4) if second else 0.0
+        best, second = sums[order[0]], sums[order[1]] if len(order) > 1 else sums[order[0]]
+        return names[order[0]], round((second - best) / second, 4) if second and telling else 0.0
 
 
 def paragraphs(text: str) -> list[str]:
@@ -151,25 +174,47 @@ def paragraphs(text: str) -> list[str]:
     return [p for p in (p.strip() for p in _BLANK_LINES.split(text.replace("\r\n", "\n").replace("\r", "\n"))) if p]
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of running words of each text by label, those at the end shorter."""
+    for batch in batches:
+        langs, out = [], []
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for p in paragraphs(text):
+                w = [x.lower() for x in _WORD.findall(p)]
+                out += [" ".join(w[k : k + PIECE]) for k in range(0, len(w), PIECE)]
+            langs += [lang] * (len(out) - len(langs))
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(out, pa.string())], names=["lang", "piece"])
+
+
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Identifier:
-    """An identifier from the labelled documents (id, text, lang) with the smallest hashes of id.
+    """An identifier from labelled documents (id, text, lang), about ``sample_docs`` of a label.
 
-    Words enter a language's text only where they are about as common as anywhere (SHARE), which
-    cleans out documents with untrue labels and words all languages share are kept in all. Without
-    labelled text the identifier knows no word and gives the first language with confidence 0.
+    A word belongs to a language where it is about as common as anywhere (SHARE), which cleans out
+    documents with untrue labels; words all languages share are kept in all. The automaton's text is
+    made of running words of the label's documents that all belong to the language, as many runs as
+    it takes to hold each such word. Words and runs are counted and chosen in the executors. Without labelled text the identifier knows no word and gives the label or else
+    the first language, with confidence 0.
     """
-    ids = docs.where(F.col("lang").isin(LANGUAGES)).select("id", "lang", F.xxhash64("id").alias("h"))
-    few = reduce(DataFrame.unionAll, [ids.where(F.col("lang") == lang).orderBy("h", "id").limit(sample_docs) for lang in LANGUAGES])
-    rows = docs.select("id", "text").join(F.broadcast(few.select("id", "lang")), "id").where(F.length("text") <= SAMPLE_CHARS).select("lang", "text").collect()
-    counts = {lang: Counter() for lang in LANGUAGES}
-    for lang, text in rows:
-        counts[lang].update(w.lower() for w in _WORD.findall(text))
-    total = {lang: sum(c.values()) or 1 for lang, c in counts.items()}
-    most: dict[str, float] = {}
-    for lang, c in counts.items():
-        for w, n in c.items():
-            most[w] = max(most.get(w, 0.0), n / total[lang])
-    return Identifier({lang: sorted(w for w, n in c.items() if n >= LEAST_COUNT and n / total[lang] >= SHARE * most[w]) for lang, c in counts.items()})
+    pieces = sampled(docs.select("id", "lang", "text"), LANGUAGES, sample_docs).where("text is not null").select("lang", "text").mapInArrow(_pieces, "lang string, piece string")
+    counts = materialize(pieces.groupBy("lang", "piece").agg(F.count("*").alias("n")), "pieces")
+    words = counts.select("lang", "piece", "n", F.posexplode(F.split("piece", " ")).alias("pos", "word"))
+    by_word = words.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    total = by_word.groupBy("lang").agg(F.sum("n").alias("total"))
+    share = by_word.join(F.broadcast(total), "lang").select("lang", "word", "n", (F.col("n") / F.col("total")).alias("share"))  # a row a language
+    most = share.groupBy("word").agg(F.max("share").alias("most"))
+    own = share.join(most, "word").where((F.col("n") >= LEAST_COUNT) & (F.col("share") >= SHARE * F.col("most"))).select("lang", "word")
+    marked = words.join(own.withColumn("own", F.lit(True)), ["lang", "word"], "left")
+    listed = marked.groupBy("lang", "piece").agg(F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("own"), F.col("word")).otherwise("\n").alias("word")))).alias("w"))  # PIECE words at most
+    runs = listed.select("lang", F.explode(F.split(F.array_join(F.transform("w", lambda x: x["word"]), " "), "\n")).alias("run")).select("lang", F.trim("run").alias("piece")).where("piece != ''").distinct()
+    picked = runs.select("lang", "piece", F.explode(F.split("piece", " ")).alias("word")).groupBy("lang", "word").agg(F.max(F.struct(F.length("piece"), "piece")).alias("p")).select("lang", "p.piece").distinct()
+    texts: dict[str, list[str]] = {lang: [] for lang in LANGUAGES}
+    covered: set[tuple[str, str]] = set()
+    for lang, piece in sorted(map(tuple, picked.collect()), key=lambda x: (x[0], -len(x[1]), x[1])):  # a run a word of the sample at most
+        fresh = {(lang, w) for w in piece.split(" ")} - covered
+        if fresh:
+            covered |= fresh
+            texts[lang].append(piece)
+    return Identifier(texts)
 
 
 def _segments(identifier: Identifier):
@@ -194,8 +239,8 @@ def _segments(identifier: Identifier):
 def segments(docs: DataFrame, identifier: Identifier) -> DataFrame:
     """(id, label, seg_no, lang, confidence, chars) of every paragraph with letters.
 
-    Texts are read whole and in place, without a shuffle. Null texts and paragraphs without letters
-    give no row; a repeated document gives its paragraphs again.
+    Texts are read whole and in place, without a shuffle. Only null texts and paragraphs without
+    letters give no row; a repeated document gives its paragraphs again.
     """
     rows = docs.where("text is not null").select(F.col("id").cast("long").alias("id"), "text", "lang")
     return rows.mapInArrow(_segments(identifier), "id long, label string, seg_no int, lang string, confidence double, chars int")

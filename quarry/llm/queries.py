@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import canonical, golay, language, leakage, ledger, mixing, mojibake
+from quarry.operators.skew import balanced, unique_join
 from quarry.storage import materialize, table
 
 # -- 1: near-duplicates -------------------------------------------------------------------------
@@ -41,12 +42,14 @@ def p2_models(spark: SparkSession, d: str) -> mojibake.Models:
 
 
 def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
-    """Affected values with their restored text and the chain of misreadings undone."""
+    """Affected values with their restored text and the chain of misreadings undone. Each distinct value is looked at once."""
     sugg, block = table(spark, d, "skill_suggestion"), table(spark, d, "source_block")
     field = lambda df, t, f: df.where(F.col(f).isNotNull()).select(F.lit(t).alias("table_name"), F.col("id").alias("row_id"), F.lit(f).alias("field_name"), F.col(f).alias("raw"))
     rows = field(sugg, "skill_suggestion", "suggested_name").unionAll(field(sugg, "skill_suggestion", "group_name")).unionAll(field(block, "source_block", "raw_title"))
     repair = mojibake.repair_column(p2_models(spark, d))
-    return rows.withColumn("r", repair("raw")).where("r.chain is not null").select("table_name", "row_id", "field_name", "raw", F.col("r.text").alias("restored"), F.col("r.chain").alias("chain")).distinct()
+    affected = balanced(rows.select("raw").distinct(), "raw").withColumn("r", repair("raw")).where("r.chain is not null")
+    affected = materialize(affected.select("raw", F.col("r.text").alias("restored"), F.col("r.chain").alias("chain")), "affected")
+    return unique_join(rows, affected, ["raw"]).select("table_name", "row_id", "field_name", "raw", "restored", "chain").distinct()
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,7 @@ import unicodedata
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +43,19 @@ def canonical_parts(text: str) -> str:
     return ";".join(sorted(s for s in map(word_string, _PARTS.split(text)) if s))
 
 
+def sampled(docs: DataFrame, labels: list[str], size: int) -> DataFrame:
+    """About ``size`` documents (id, lang, ...) of each label, all where there are no more; the same ones however the table is split.
+
+    A document is taken if the hash of its id lies below its label's threshold, which comes from
+    the label's number of documents; so nothing is sorted and nothing but the numbers is collected.
+    """
+    share = {r[0]: size / r[1] for r in docs.where(F.col("lang").isin(labels)).groupBy("lang").count().collect()}
+    limit = F.lit(0.0)
+    for lang, x in share.items():
+        limit = F.when(F.col("lang") == lang, F.lit(min(x, 1.0))).otherwise(limit)
+    return docs.where(F.col("lang").isin(labels) & (F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < limit * float(1 << 40)))
+
+
 def _column(function: Callable[[str], str]):
     @F.pandas_udf(T.StringType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -3,6 +3,7 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import language, mixing, queries
 
@@ -63,6 +64,23 @@ def test_automaton_finds_exactly_substrings():
         assert a.phrases(s) == n
 
 
+def test_parsing_goes_on_across_words():
+    a = language.Automaton(" the quick brown fox ")
+    assert a.parse(" the quick brown ")[0] == 1 and a.parse(" brown the ")[0] == 2
+    one, state = a.parse(" the ")
+    assert (one + a.parse("quick ", state)[0]) == 1 and a.parse("zz", state) == (2, 0)
+    i = language.Identifier({"en": ["the quick brown fox", "a lazy dog"], "de": ["der schnelle braune fuchs", "ein fauler hund"]})
+    i._build()
+    assert i.phrases(["the", "quick", "brown"])[0] == 1 and i.phrases(["quick", "the"])[0] == 2
+    assert i.language("quick brown") == ("en", pytest.approx(0.8, abs=0.15))
+
+
+def test_long_documents_teach_too(spark):
+    rows = [(i, "мы описываем учебные графики " * 5000, "ru") for i in range(3)] + [(10 + i, "each team owns reports", "en") for i in range(3)]
+    i = language.train(spark.createDataFrame(rows, "id long, text string, lang string"))
+    assert i.language("учебные графики")[0] == "ru" and sum(map(len, i.texts["ru"])) < 200
+
+
 def test_paragraphs():
     assert language.paragraphs("\n \na\r\nb\r\n\t\r\n\n c \n \n\n") == ["a\nb", "c"] and language.paragraphs(" \n\n") == []
 
@@ -80,22 +98,21 @@ def test_languages_of_paragraphs(spark, identifier):
     segs = language.segments(df, identifier)
     got = [(r.seg_no, r.lang) for r in segs.where("id = 1").orderBy("seg_no").collect()]
     assert got == [(1, "en"), (2, "ru"), (3, "ru"), (4, "de"), (6, "uk"), (7, "es")]
-    assert [(r.lang, r.confidence) for r in segs.where("id = 4").collect()] == [("en", 0.0)]
+    unknown = segs.where("id = 4").orderBy(F.col("label").desc_nulls_last()).collect()  # every paragraph with letters has a row
+    assert [(r.label, r.confidence) for r in unknown] == [("en", 0.0), (None, 0.0)] and unknown[0].lang == "en" and unknown[1].lang in language.LANGUAGES
     assert {r.id: r.lang for r in language.documents(segs).collect()}[1] in language.LANGUAGES
     assert all(0 <= r.confidence <= 1 for r in segs.collect())
 
 
 def test_without_labels(spark):
     none = language.train(spark.createDataFrame([], "id long, text string, lang string"))
-    assert none.language("some words") == (None, 0.0) and none.language("words", "en") == ("en", 0.0)
+    assert none.language("some words") == ("ru", 0.0) and none.language("words", "en") == ("en", 0.0) and none.language("12 / 5") == (None, 0.0)
 
 
 def test_held_out_accuracy(spark):
     path = "/root/testdata/sf0.001/documents.parquet"
     if not os.path.exists(path):
         pytest.skip("test tables are not there")
-    from pyspark.sql import functions as F
-
     d = spark.read.parquet(path).select(F.col("doc_id").alias("id"), "text", "lang")
     held = F.pmod(F.xxhash64("id"), F.lit(2)) == 0
     docs_ = language.documents(language.segments(d.where(held & F.col("lang").isin(language.LANGUAGES)), language.train(d.where(~held)))).collect()
