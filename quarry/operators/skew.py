@@ -29,3 +29,13 @@ def unique_join(left: DataFrame, right: DataFrame, on: list[str], slots: int = H
     few = tagged.where("_hot").drop("_hot").join(F.broadcast(hot_right), on)
     many = tagged.where("_hot is null").drop("_hot").join(right, on)
     return few.unionByName(many)
+
+
+def balanced(df: DataFrame, *on: str, tasks_a_core: int = 3) -> DataFrame:
+    """``df`` in a fixed number of parts by the hash of ``on``, for work that costs far more CPU than its bytes tell.
+
+    Adaptive execution joins small parts by their bytes, but leaves a stated number of parts alone.
+    """
+    spark = df.sparkSession
+    n = max(tasks_a_core * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *on)
