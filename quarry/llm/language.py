@@ -31,6 +31,8 @@ SHARE = 0.3
 #: Words seen less often in the sample teach nothing.
 LEAST_COUNT = 3
 _MEMO = 1_000_000
+#: Bits for the phrases of one language in a text.
+_BITS = 40
 _WORD = re.compile(r"[^\W\d_]+(?:['’ʼ-][^\W\d_]+)*")
 _BLANK_LINES = re.compile(r"\n(?:[^\S\n]*\n)+")
 
@@ -112,11 +114,25 @@ class Identifier:
         return {"texts": self.texts, "_automata": None}
 
     def _build(self) -> None:
-        self._automata, self._steps, self._words = [], [], {}
+        self._automata, self._words = [], {}
         for lang, pieces in self.texts.items():
             other = [" ".join(transliterate(w, lang) for w in p.split(" ")) for p in pieces]
             self._automata.append(Automaton(f" {' '.join(pieces)} {' '.join(other)} "))
-            self._steps.append({})
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start the memo of steps anew: (number of a tuple of states, word) to (phrases of all languages in one integer, number of the next tuple)."""
+        self._steps: dict[tuple[int, str], tuple[int, int]] = {}
+        self._states, self._numbers = [], {}
+        self._start = self._step((0,) * len(self._automata), " ")
+
+    def _step(self, states: tuple[int, ...], text: str) -> tuple[int, int]:
+        made = [a.parse(text, state) for a, state in zip(self._automata, states, strict=True)]
+        after = tuple(state for _, state in made)
+        if after not in self._numbers:
+            self._numbers[after] = len(self._states)
+            self._states.append(after)
+        return sum(n << _BITS * k for k, (n, _) in enumerate(made)), self._numbers[after]
 
     def word(self, word: str) -> bool:
         """Whether a word tells something: some language needs fewer phrases than another, and one for three letters at most."""
@@ -129,21 +145,17 @@ class Identifier:
         return got
 
     def phrases(self, words: list[str]) -> list[int]:
-        """Phrases of running words by language. A word after another starts from the state the other left."""
-        out = []
-        for automaton, steps in zip(self._automata, self._steps, strict=True):
-            if len(steps) > _MEMO:
-                steps.clear()
-            n, state = automaton.parse(" ")
-            for w in words:
-                key = (state, w)
-                step = steps.get(key)
-                if step is None:
-                    step = steps[key] = automaton.parse(w + " ", state)
-                n += step[0]
-                state = step[1]
-            out.append(n)
-        return out
+        """Phrases of running words by language. A word after another starts from the states the other left."""
+        if len(self._steps) > _MEMO:
+            self._forget()
+        steps, (total, at) = self._steps, self._start
+        for w in words:
+            step = steps.get((at, w))
+            if step is None:
+                step = steps[at, w] = self._step(self._states[at], w + " ")
+            total += step[0]
+            at = step[1]
+        return [total >> _BITS * k & (1 << _BITS) - 1 for k in range(len(self._automata))]
 
     def language(self, text: str, label: str | None = None) -> tuple[str | None, float]:
         """(language, confidence) of a text: fewest phrases for the same characters; (None, 0) for a text without letters.

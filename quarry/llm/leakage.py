@@ -27,6 +27,8 @@ from quarry.llm.text import word_string
 
 BLOCK_CHARS = 2_000_000
 MAX_Q = 24
+#: Windows aligned side by side.
+ALIGNED = 4_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)
 
@@ -70,12 +72,14 @@ class Index:
     item: np.ndarray
     pos: np.ndarray
     window_end: list[np.ndarray]
+    starts: list[list[int]]
+    codes: list[np.ndarray]
     lookup: np.ndarray
 
     @staticmethod
     def build(ids: list[int], strings: list[str], words: int, edits: int) -> Index | None:
         """None if no item has as many words, or if the budget leaves no q-gram to count."""
-        kept, ends, shortest = [], [], math.inf
+        kept, ends, starts, shortest = [], [], [], math.inf
         for i, s in zip(ids, strings, strict=True):
             padded = f" {s} "
             blank = np.array([k for k, ch in enumerate(padded) if ch == " "])
@@ -89,6 +93,7 @@ class Index:
                 end[ok] = stop[nxt[ok]] + 1
                 kept.append((i, padded))
                 ends.append(end)
+                starts.append(blank[: len(stop)].tolist())
         if not kept:
             return None
         q = max(2, min(MAX_Q, int(shortest) // (edits + 2)))
@@ -103,7 +108,7 @@ class Index:
         size = 1 << max(12, int(len(distinct) * 32).bit_length())
         lookup = np.zeros(size, dtype=bool)
         lookup[(distinct & np.uint64(size - 1)).astype(np.int64)] = True
-        return Index(q, need, edits, words, np.array([i for i, _ in kept]), [t for _, t in kept], distinct, np.append(first, len(h)), item, pos, ends, lookup)
+        return Index(q, need, edits, words, np.array([i for i, _ in kept]), [t for _, t in kept], distinct, np.append(first, len(h)), item, pos, ends, starts, [_codes(t) for _, t in kept], lookup)
 
 
 def _hits(index: Index, strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -123,26 +128,44 @@ def _hits(index: Index, strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.
     return doc, index.item[flat], at - starts[doc] - index.pos[flat], index.pos[flat]
 
 
-def banded_distance(item: str, text: str, shift: int, band: int, limit: int) -> int:
-    """Least edits turning ``item`` into a part of ``text`` that starts within ``band`` of ``shift``; limit + 1 if more."""
-    width = 2 * band + 1
-    row = [0 if 0 <= shift - band + k <= len(text) else limit + 1 for k in range(width)]
-    for i, ch in enumerate(item):
-        new = [limit + 1] * width
-        for k in range(width):
-            j = i + shift - band + k  # the text's characters before j are used before this step
-            best = limit + 1
-            if 0 <= j < len(text):
-                best = row[k] + (text[j] != ch)
-            if k + 1 < width and 0 <= j + 1 <= len(text):
-                best = min(best, row[k + 1] + 1)
-            if k and 0 < j + 1 <= len(text):
-                best = min(best, new[k - 1] + 1)
-            new[k] = best
-        row = new
-        if min(row) > limit:
-            return limit + 1
-    return min(row)
+def banded_distances(items: list[np.ndarray], texts: list[np.ndarray], shifts: list[int], band: int, limit: int) -> np.ndarray:
+    """Least edits turning each item into a part of its text that starts within ``band`` of its shift; limit + 1 if more.
+
+    All pairs are aligned side by side, a character of every item at a time; pairs over the limit drop out.
+    """
+    width, far = 2 * band + 1, limit + 1
+    out = np.full(len(items), far)
+    if not items:
+        return out
+    size = np.array([len(x) for x in items])
+    longest = int(size.max())
+    item = np.zeros((len(items), longest), dtype=np.uint32)
+    around = np.zeros((len(items), longest + width), dtype=np.uint32)  # NUL, which no word string holds, outside the text
+    length, low = np.array([len(t) for t in texts]), np.asarray(shifts) - band
+    for n, (x, t) in enumerate(zip(items, texts, strict=True)):
+        item[n, : len(x)] = x
+        lo, hi = max(0, low[n]), min(len(t), low[n] + longest + width)
+        if lo < hi:
+            around[n, lo - low[n] : hi - low[n]] = t[lo:hi]
+    k = np.arange(width)
+    at = np.arange(len(items))
+    place = low[:, None] + k
+    row = np.where((place >= 0) & (place <= length[:, None]), 0, far)
+    for i in range(longest):
+        new = row + (around[at, i : i + width] != item[at, i][:, None])
+        new[:, :-1] = np.minimum(new[:, :-1], row[:, 1:] + 1)
+        place = low[at][:, None] + i + 1 + k
+        inside = (place >= 0) & (place <= length[at][:, None])
+        new = np.where(inside, np.minimum.accumulate(np.where(inside, new, far) - k, axis=1) + k, far)
+        row = np.minimum(new, far)
+        least = row.min(axis=1)
+        done = size[at] == i + 1
+        out[at[done]] = least[done]
+        go = ~done & (least <= limit)
+        at, row = at[go], row[go]
+        if not len(at):
+            break
+    return out
 
 
 def _exact(index: Index, strings: list[str], doc, item, diag, pos) -> set[tuple[int, int, int]]:
@@ -174,29 +197,47 @@ def _edited(index: Index, strings: list[str], doc, item, diag, pos) -> set[tuple
     e, q = index.edits, index.q
     span = index.need - 1 + q * (e + 1) - q
     cell = np.floor_divide(diag, e + 1)
-    both = [np.concatenate(x) for x in ((doc, doc), (item, item), (cell, cell - 1), (pos, pos))]
-    rows = np.unique(np.stack(both, axis=1), axis=0)
+    # every hit lies in two overlapping bands; (document, item, band, position) is sorted and told apart as one number
+    base = int(cell.min(initial=0)) - 1
+    cells, places = int(cell.max(initial=0)) - base + 1, int(pos.max(initial=0)) + 1
+    group = (doc * len(index.texts) + item) * cells - base
+    rows = np.unique(np.concatenate([(group + c) * places + pos for c in (cell, cell - 1)]))
     if len(rows) < index.need:
         return set()
-    ahead = rows[index.need - 1 :]
-    first = rows[: len(ahead)]
-    dense = np.flatnonzero((ahead[:, :3] == first[:, :3]).all(axis=1) & (ahead[:, 3] - first[:, 3] <= span))
-    stretches: dict[tuple[int, int, int], tuple[int, int]] = {}
-    for k in dense:
-        band = tuple(map(int, rows[k, :3]))
-        lo, hi = stretches.get(band, (1 << 30, -1))
-        stretches[band] = (min(lo, int(rows[k, 3])), max(hi, int(rows[k + index.need - 1, 3]) + q))
+    band, place = rows // places, rows % places
+    first, last = np.arange(len(rows) - index.need + 1), np.arange(index.need - 1, len(rows))
+    dense = np.flatnonzero((band[first] == band[last]) & (place[last] - place[first] <= span))
+    if not len(dense):
+        return set()
+    begins = np.flatnonzero(np.append(True, band[dense[1:]] != band[dense[:-1]]))
+    # a window that matches holds a whole dense stretch: it begins by the last one's begin and ends behind the first one's end
+    latest, earliest = np.maximum.reduceat(place[dense], begins), np.minimum.reduceat(place[dense + index.need - 1], begins) + q
+    of, number = np.divmod(band[dense[begins]], cells)
+    stretches = list(zip((of // len(index.texts)).tolist(), (of % len(index.texts)).tolist(), (number + base).tolist(), latest.tolist(), earliest.tolist(), strict=True))
+    pairs, items, texts, shifts = [], [], [], []
     best: dict[tuple[int, int], int] = {}
-    for (d, i, b), (lo, hi) in sorted(stretches.items()):
-        text, it, ends = f" {strings[d]} ", index.texts[i], index.window_end[i]
-        limit = min(e, best.get((d, i), e + 1) - 1)
-        for s in [k for k in range(min(hi, len(it))) if it[k] == " " and lo < ends[k] <= len(it)]:
-            if limit < 0:
-                break
-            dist = banded_distance(it[s : ends[s]], text, b * (e + 1) + e + s, 2 * e + 1, limit)
-            if dist <= limit:
-                best[d, i] = dist
-                limit = dist - 1
+    coded: dict[int, np.ndarray] = {}
+
+    def align() -> None:
+        for pair, n in zip(pairs, banded_distances(items, texts, shifts, 2 * e + 1, e), strict=True):
+            if n <= e:
+                best[pair] = min(int(n), best.get(pair, e))
+        for x in (pairs, items, texts, shifts):
+            x.clear()
+
+    for d, i, b, latest, earliest in stretches:
+        if d not in coded:
+            coded[d] = _codes(f" {strings[d]} ")
+        it, ends = index.codes[i], index.window_end[i]
+        for s in index.starts[i]:
+            if s <= latest and ends[s] >= earliest:
+                pairs.append((d, i))
+                items.append(it[s : ends[s]])
+                texts.append(coded[d])
+                shifts.append(b * (e + 1) + e + s)
+        if len(pairs) > ALIGNED:
+            align()
+    align()
     return {(d, i, n) for (d, i), n in best.items()}
 
 
@@ -209,8 +250,9 @@ def _search(index: Index):
                 doc, item, diag, pos = _hits(index, strings)
                 found = _exact(index, strings, doc, item, diag, pos)
                 if index.edits:
-                    sure = {(d, i) for d, i, _ in found}
-                    found |= {x for x in _edited(index, strings, doc, item, diag, pos) if x[:2] not in sure}
+                    sure = np.array([d * len(index.texts) + i for d, i, _ in found], dtype=np.int64)
+                    rest = ~np.isin(doc * len(index.texts) + item, sure)
+                    found |= _edited(index, strings, doc[rest], item[rest], diag[rest], pos[rest])
                 if found:
                     d, i, n = map(list, zip(*sorted(found), strict=True))
                     yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(d)), pa.array(index.ids[i]), pa.array(n, pa.int32())], names=["doc_id", "item_id", "edits"])

@@ -109,15 +109,20 @@ def p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
 # -- 6: evaluation texts in the corpus -----------------------------------------------------------
 
 
-def _p6(spark: SparkSession, d: str) -> DataFrame:
+def _p6(spark: SparkSession, d: str, edits: int = 0) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return leakage.find_leaks(docs, table(spark, d, "eval_item").select("item_id", "text"), words=12, edits=0)
+    return leakage.find_leaks(docs, table(spark, d, "eval_item").select("item_id", "text"), words=12, edits=edits)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return _p6(spark, d).select("doc_id", "item_id")
 
 
+def p6_edited(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and items that share a passage but for two characters at most, with the edits it takes."""
+    return _p6(spark, d, edits=2)
+
+
 def p6_items(spark: SparkSession, d: str) -> DataFrame:
     """Leaked items with the number of documents that hold them."""
     return _p6(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"))
@@ -162,7 +167,7 @@ def p8_documents(spark: SparkSession, d: str) -> DataFrame:
     return language.documents(_p8(spark, d)).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_ledger": p3_ledger, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_found": p6_found, "p6_items": p6_items, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_segments": p8_segments, "p8_documents": p8_documents}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_ledger": p3_ledger, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_found": p6_found, "p6_items": p6_items, "p6_edited": p6_edited, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_segments": p8_segments, "p8_documents": p8_documents}
 
 # -- SQL -----------------------------------------------------------------------------------------
 
