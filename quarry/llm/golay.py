@@ -7,6 +7,9 @@ codewords of the perfect (23,12) Golay code within distance 4: one or six of the
 distance 2 or less always share a codeword index, and many at 3 or 4 do. As 12 bits tell too
 little in a large collection, each index is joined with the minima of BAND word permutations of
 its own segment; the key is a hash of (segment, band, index). Rows sharing a key are candidates.
+Texts that only share a phrase rarely share a key, as all three minima would have to fall into the
+phrase and an index agree besides; so a common phrase makes no hot key, and what remains of skew
+(large families of near-duplicates, whose pairs are results) is split by adaptive execution.
 They are sifted by a 64-bit sketch of the words in the join itself, then by the whole fingerprints:
 these differ in at most as many bits as the trigram sets differ in trigrams, so this bound loses
 nothing. What is left is verified exactly.
@@ -25,14 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.text import word_string_column
+from quarry.llm.text import word_string
 from quarry.storage import materialize
 
-SEGMENTS = 16
+SEGMENTS = 20
 BAND = 3
 LIST = 6
-#: Sketches of two texts may differ in so many of 64 bits: a pair at a word similarity of 0.6 differs in 13 on average.
-SKETCH_BITS = 20
+#: Sketches of two texts may differ in so many of 64 bits: a pair at a word similarity of 0.6 differs in 13 on average, and in more than 22 once in a thousand.
+SKETCH_BITS = 22
 
 _GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 
@@ -165,8 +168,12 @@ def _emit_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
-            segments, n = fingerprints(part.column("ws").to_pylist())
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n.astype(np.int32)), *map(pa.array, _pack(segments).T)], names=[*part.schema.names, "n", *_FP])
+            ws = [word_string(t) for t in part.column("text").to_pylist()]
+            there = [k for k, w in enumerate(ws) if w]
+            texts = [ws[k] for k in there]
+            segments, n = fingerprints(texts)
+            uid, grp = (part.column(c).take(pa.array(there, pa.int64())) for c in ("uid", "grp"))
+            yield pa.RecordBatch.from_arrays([uid, grp, pa.array(texts, pa.string()), pa.array(n.astype(np.int32)), *map(pa.array, _pack(segments).T)], names=["uid", "grp", "ws", "n", *_FP])
 
 
 def _emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,10 +226,8 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.7) -> tuple[DataFrame,
     texts without words belong to nothing; texts of under three characters have no trigram and no
     link. Groups of exact copies take part once, so copies cost neither keys nor candidates.
     """
-    w = rows.where("text is not null").select("uid", "grp", word_string_column(F.col("text")).alias("ws")).where("ws != ''")
-    hashed = w.select("uid", "grp", F.xxhash64("ws").alias("h1"), F.xxhash64(F.lit("h2"), "ws").alias("h2"), "ws")
-    printed = hashed.mapInArrow(_emit_fingerprints, "uid long, grp long, h1 long, h2 long, ws string, n int, " + ", ".join(f"{c} long" for c in _FP))
-    texts = materialize(printed, "texts")
+    printed = rows.where("text is not null").select("uid", "grp", "text").mapInArrow(_emit_fingerprints, "uid long, grp long, ws string, n int, " + ", ".join(f"{c} long" for c in _FP))
+    texts = materialize(printed.withColumns({"h1": F.xxhash64("ws"), "h2": F.xxhash64(F.lit("h2"), "ws")}), "texts")
     ident = ["grp", "h1", "h2"]
     reps = texts.groupBy(*ident).agg(F.min("uid").alias("rep"), F.count("*").alias("copies"))
     copied = materialize(reps.where("copies > 1").select(*ident, "rep"), "copied")

@@ -201,7 +201,8 @@ def _edited(index: Index, strings: list[str], doc, item, diag, pos) -> set[tuple
     base = int(cell.min(initial=0)) - 1
     cells, places = int(cell.max(initial=0)) - base + 1, int(pos.max(initial=0)) + 1
     group = (doc * len(index.texts) + item) * cells - base
-    rows = np.unique(np.concatenate([(group + c) * places + pos for c in (cell, cell - 1)]))
+    rows = np.sort(np.concatenate([(group + c) * places + pos for c in (cell, cell - 1)]))
+    rows = rows[np.append(True, rows[1:] != rows[:-1])[: len(rows)]]
     if len(rows) < index.need:
         return set()
     band, place = rows // places, rows % places

@@ -31,6 +31,17 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(_p1_table("id_a").alias("table_name"), half("id_a").alias("id_a"), half("id_b").alias("id_b"))
 
 
+def p1_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links between representatives of exact copies, with their similarity; no link is multiplied by copies."""
+    links = _p1(spark, d)[0]
+    return links.select(_p1_table("a").alias("table_name"), F.shiftright("a", 1).alias("id_a"), F.shiftright("b", 1).alias("id_b"), F.round("similarity", 6).alias("similarity"))
+
+
+def p1_members(spark: SparkSession, d: str) -> DataFrame:
+    """Every row with words and the representative of its exact copies, the smallest id."""
+    return _p1(spark, d)[1].select(_p1_table("uid").alias("table_name"), F.shiftright("uid", 1).alias("id"), F.shiftright("rep", 1).alias("representative"))
+
+
 # -- 2: garbled text -----------------------------------------------------------------------------
 
 
@@ -94,7 +105,7 @@ def _p5(spark: SparkSession, d: str) -> DataFrame:
     skill, alias = table(spark, d, "skill"), table(spark, d, "skill_alias")
     names = skill.select(F.col("id").alias("entry_id"), F.col("canonical_name").alias("name")).unionByName(alias.select(F.col("skill_id").alias("entry_id"), F.col("alias").alias("name")))
     found = canonical.map_values(rows, names, skill.select(F.col("id").alias("entry_id"), "code"), p2_models(spark, d))
-    return rows.join(found, "value", "left").select("table_name", "row_id", "value", F.coalesce("entry_id", F.lit(0).cast("long")).alias("skill_id"))
+    return unique_join(rows, materialize(found, "mapped"), ["value"], how="left").select("table_name", "row_id", "value", F.coalesce("entry_id", F.lit(0).cast("long")).alias("skill_id"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -167,7 +178,7 @@ def p8_documents(spark: SparkSession, d: str) -> DataFrame:
     return language.documents(_p8(spark, d)).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_ledger": p3_ledger, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_found": p6_found, "p6_items": p6_items, "p6_edited": p6_edited, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_segments": p8_segments, "p8_documents": p8_documents}
+QUERIES = {"p1_found": p1_found, "p1_links": p1_links, "p1_members": p1_members, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_ledger": p3_ledger, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_found": p6_found, "p6_items": p6_items, "p6_edited": p6_edited, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_segments": p8_segments, "p8_documents": p8_documents}
 
 # -- SQL -----------------------------------------------------------------------------------------
 
@@ -213,6 +224,8 @@ WITH i AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 10),
 #: Where SQL can't express an operator, its tests hold it against brute force, a round trip or held-out rows instead.
 SQL: dict[str, str] = {
     "p1_found": _SQL_P1 + " SELECT x.table_name, least(x.id, y.id) AS id_a, greatest(x.id, y.id) AS id_b FROM s JOIN u x ON x.rep = s.a JOIN u y ON y.rep = s.b",
+    "p1_links": _SQL_P1 + ", m AS (SELECT rep, any_value(table_name) AS table_name, min(id) AS id FROM u GROUP BY rep) SELECT x.table_name, least(x.id, y.id) AS id_a, greatest(x.id, y.id) AS id_b, round(similarity, 6) AS similarity FROM s JOIN m x ON x.rep = s.a JOIN m y ON y.rep = s.b",
+    "p1_members": _SQL_P1.split(" g AS (")[0].rstrip().rstrip(",") + " SELECT table_name, id, min(id) OVER (PARTITION BY rep) AS representative FROM u",
     "p3_found": _sql_p3_all("DISTINCT table_name, field_name, kept_key::VARCHAR AS kept_key, key::VARCHAR AS copy_key", "").replace("(SELECT * FROM (", "(SELECT *, min(key) OVER (PARTITION BY table_name, field_name, canon) AS kept_key FROM (").replace("canon <> '') ", "canon <> '') WHERE key <> kept_key"),
     "p3_ledger": _sql_p3_all("table_name, field_name, min(key)::VARCHAR AS kept_key, count(*) AS records, min(loaded_at) AS first_loaded", "GROUP BY table_name, field_name, canon"),
     "p6_found": _SQL_P6 + " SELECT doc_id, item_id FROM l",

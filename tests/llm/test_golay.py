@@ -74,6 +74,15 @@ def test_links_against_brute_force(spark, seed):
     assert members.count() == sum(bool(w) for w in ws)
 
 
+def test_a_common_phrase_makes_no_hot_key():
+    rnd = random.Random(9)
+    vocab = ["".join(rnd.choice("абвгдежзиклмнопрст") for _ in range(rnd.randrange(4, 11))) for _ in range(2000)]
+    phrase = "при соблюдении установленных требований безопасности"
+    texts = [" ".join(rnd.choice(vocab) for _ in range(25)) + (" " + phrase if i % 10 == 0 else "") for i in range(6000)]
+    rows, keys, _ = golay.keys_and_sketch(texts, golay.fingerprints(texts)[0])
+    assert np.bincount(np.unique(keys, return_inverse=True)[1]).max() <= 6  # of 600 rows with the phrase
+
+
 def test_nothing_in_nothing_out(spark):
     links, members = golay.near_duplicates(spark.createDataFrame([], "uid long, grp long, text string"))
     assert links.count() == 0 and members.count() == 0
