@@ -32,6 +32,7 @@ def test_unique_join_keeps_rows_of_a_hot_key(spark):
     assert rows(hot_keys(left, ["k"], 4)) == [(1,)]
     for slots in (1024, 4):
         assert rows(unique_join(left, right, ["k"], slots), "k", "v", "w") == rows(left.join(right, "k"), "k", "v", "w")
+        assert rows(unique_join(left, right, ["k"], slots, "left"), "k", "v", "w") == rows(left.join(right, "k", "left"), "k", "v", "w")
     assert unique_join(left.limit(0), right, ["k"]).count() == 0 and unique_join(left, right.limit(0), ["k"]).count() == 0
 
 
