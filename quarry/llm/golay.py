@@ -33,6 +33,8 @@ from quarry.storage import materialize
 
 SEGMENTS = 20
 BAND = 3
+#: The segments' keys are joined in so many passes, so that disk holds a part of the keys at a time.
+PASSES = 2
 LIST = 6
 #: Sketches of two texts may differ in so many of 64 bits: a pair at a word similarity of 0.6 differs in 13 on average, and in more than 22 once in a thousand.
 SKETCH_BITS = 22
@@ -146,16 +148,17 @@ def minima(texts: list[str]) -> np.ndarray:
     return out
 
 
-def keys_and_sketch(texts: list[str], segments: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, key) of all keys, and a 64-bit sketch by row."""
+def keys_and_sketch(texts: list[str], segments: np.ndarray, some: range | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key) of all keys of all or some segments, and a 64-bit sketch by row."""
+    some = range(SEGMENTS) if some is None else some
     low = minima(texts)
     sketch = np.packbits((_mix(low) & np.uint64(1)).astype(np.uint8), axis=1, bitorder="little").view(np.int64)[:, 0]
-    index = codewords(segments)
-    band = np.zeros((len(texts), SEGMENTS), dtype=np.uint64)
-    for s in range(SEGMENTS):
+    index = codewords(segments[:, some])
+    band = np.zeros((len(texts), len(some)), dtype=np.uint64)
+    for k, s in enumerate(some):
         for b in range(BAND):
-            band[:, s] = _mix(band[:, s] + low[:, s * BAND + b])
-    keys = _mix(((band + np.arange(SEGMENTS, dtype=np.uint64))[..., None] * _M) ^ index.astype(np.uint64)).view(np.int64) & ((1 << 40) - 1)
+            band[:, k] = _mix(band[:, k] + low[:, s * BAND + b])
+    keys = _mix(((band + np.array(some, dtype=np.uint64))[..., None] * _M) ^ index.astype(np.uint64)).view(np.int64) & ((1 << 40) - 1)
     row = np.broadcast_to(np.arange(len(texts))[:, None, None], index.shape)
     there = index >= 0
     return row[there], keys[there], sketch
@@ -176,16 +179,19 @@ def _emit_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([uid, grp, pa.array(texts, pa.string()), pa.array(n.astype(np.int32)), *map(pa.array, _pack(segments).T)], names=["uid", "grp", "ws", "n", *_FP])
 
 
-def _emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            part = batch.slice(at, 1024)
-            packed = np.stack([part.column(c).to_numpy(zero_copy_only=False) for c in _FP], axis=1)
-            row, key, sketch = keys_and_sketch(part.column("ws").to_pylist(), _unpack(packed))
-            uid = part.column("uid").to_numpy(zero_copy_only=False)
-            grp = part.column("grp").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            key ^= (_mix(grp * _M)[row] & np.uint64((1 << 40) - 1)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(uid[row]), pa.array(sketch[row])], names=["key", "uid", "sketch"])
+def _emit_keys(some: range):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                packed = np.stack([part.column(c).to_numpy(zero_copy_only=False) for c in _FP], axis=1)
+                row, key, sketch = keys_and_sketch(part.column("ws").to_pylist(), _unpack(packed), some)
+                uid = part.column("uid").to_numpy(zero_copy_only=False)
+                grp = part.column("grp").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                key ^= (_mix(grp * _M)[row] & np.uint64((1 << 40) - 1)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(uid[row]), pa.array(sketch[row])], names=["key", "uid", "sketch"])
+
+    return run
 
 
 def _verify(threshold: float):
@@ -234,10 +240,13 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.7) -> tuple[DataFrame,
     members = texts.select("uid", *ident).join(copied, ident, "left").select("uid", F.coalesce("rep", "uid").alias("rep"))
     later = materialize(members.where("uid != rep").select("uid", "rep"), "members")
     first = texts.join(later.select("uid"), "uid", "left_anti")
-    keys = first.select("uid", "grp", "ws", *_FP).mapInArrow(_emit_keys, "key long, uid long, sketch long")
-    left, right = keys.select("key", F.col("uid").alias("a"), F.col("sketch").alias("sa")), keys.select("key", F.col("uid").alias("b"), F.col("sketch").alias("sb"))
     near = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= SKETCH_BITS
-    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    passes = []
+    for k in range(PASSES):
+        keys = first.select("uid", "grp", "ws", *_FP).mapInArrow(_emit_keys(range(k, SEGMENTS, PASSES)), "key long, uid long, sketch long")
+        left, right = keys.select("key", F.col("uid").alias("a"), F.col("sketch").alias("sa")), keys.select("key", F.col("uid").alias("b"), F.col("sketch").alias("sb"))
+        passes.append(materialize(left.join(right, "key").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct(), "candidates"))
+    pairs = reduce(DataFrame.unionByName, passes).distinct()
     side = lambda x, cols: texts.select(F.col("uid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
     both = pairs.join(side("a", ["grp", "n", *_FP]), "a").join(side("b", ["grp", "n", *_FP]), "b")
     differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _FP])
