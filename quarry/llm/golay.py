@@ -34,7 +34,7 @@ from quarry.storage import materialize
 SEGMENTS = 20
 BAND = 3
 #: The segments' keys are joined in so many passes, so that disk holds a part of the keys at a time.
-PASSES = 2
+PASSES = 4
 LIST = 6
 #: Sketches of two texts may differ in so many of 64 bits: a pair at a word similarity of 0.6 differs in 13 on average, and in more than 20 once in a hundred.
 SKETCH_BITS = 20
