@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -53,6 +54,9 @@ def key_plain(x: Column) -> Column:
     return F.lower(F.coalesce(clean(x), F.lit("")))
 
 
+# The sets of characters that the following keys keep are fixed values: each must equal that of the tables it joins.
+
+
 def key_catalog(x: Column) -> Column:
     """Key of the catalog's lookups: ё stays, other signs become blanks after trimming, so a trailing blank may remain."""
     return F.regexp_replace(F.regexp_replace(F.trim(F.lower(nfkc(x))), "[^0-9a-zа-яё+ ]", " "), r"\s+", " ")
@@ -63,14 +67,14 @@ def key_title(x: Column) -> Column:
     return F.trim(F.regexp_replace(_fold_yo(_casefold(nfkc(x))), "[^0-9a-zа-я+]+", " "))
 
 
+#: Fixed values, applied in this order: dashes and split abbreviations as they are unified for duplicate search.
+DEDUP_REPLACED = [("‑", "-"), ("–", "-"), ("—", "-"), ("ci cd", "ci/cd"), ("ci / cd", "ci/cd"), ("m v p", "mvp"), ("ok r", "okr")]
+
+
 def key_dedup(x: Column) -> Column:
     """Key of duplicate search: dashes unified, split abbreviations joined, brackets dropped, + - / kept."""
-    t = _fold_yo(_casefold(nfkc(x)))
-    t = F.regexp_replace(t, "[‐-―−]", "-")
-    for split, joined in ((r"\bci\s+cd\b", "ci/cd"), (r"\bm\s+v\s+p\b", "mvp"), (r"\bok\s+r\b", "okr")):
-        t = F.regexp_replace(t, split, joined)
-    t = F.regexp_replace(t, r"\([^)]*\)", " ")
-    return collapse(F.regexp_replace(t, "[^0-9a-zа-я+/ -]+", " "))
+    t = reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), DEDUP_REPLACED, _fold_yo(_casefold(nfkc(x))))
+    return collapse(F.regexp_replace(F.regexp_replace(t, r"\([^)]*\)", " "), "[^0-9a-zа-я+/ -]+", " "))
 
 
 def search_norm(x: Column) -> Column:
@@ -119,18 +123,20 @@ def clean_profile_name(x: Column) -> Column:
 
 
 #: Words that may not end a shortened label.
-DANGLING = ["и", "или", "а", "но", "в", "во", "на", "с", "со", "к", "по", "для", "из", "от", "до", "о", "об", "при", "через", "без", "за", "под", "над", "между"]
+DANGLING = ["и", "или", "в", "во", "на", "для", "по", "с", "со", "к", "ко", "о", "об", "от", "до", "из"]
 
 
 def strip_dangling(x: Column) -> Column:
-    """Without an open bracket and connecting words at the end."""
-    t = F.regexp_replace(x, r"\s*\([^)]*$", "")
-    t = F.regexp_replace(t, r"(?iU)(\s+(" + "|".join(DANGLING) + r"))+$", "")
-    return F.regexp_replace(t, r"[\s,;:—–-]+$", "")
+    """Without an open bracket, and without connecting words and signs at the end."""
+    closed = F.regexp_replace(x, r"\([^)]*$", "")
+    signs = r"[.,:;()-]*"
+    words = rf"(?iU)(?:(?:^|\s+){signs}(?:{'|'.join(DANGLING)}){signs})+\s*$"
+    trimmed = F.regexp_replace(closed, r"[\s.,:;(-]+$", "")
+    return collapse(F.regexp_replace(F.regexp_replace(trimmed, words, ""), r"^[\s.,:;(-]+|[\s.,:;-]+$", ""))
 
 
 def drop_latin_notes(x: Column) -> Column:
-    """Without brackets that hold Latin letters."""
+    """(Fixed pattern.) Without brackets that hold Latin letters."""
     return collapse(F.regexp_replace(x, r"\s*\([^)]*[A-Za-z][^)]*\)", ""))
 
 
@@ -162,11 +168,19 @@ def weights_percent(names: Column) -> Column:
     return F.array_join(F.transform(names, lambda x, i: F.concat(x, F.lit(": "), F.when(i == n - 1, F.lit(100) - each * (n - 1)).otherwise(each).cast("string"), F.lit("%"))), ", ")
 
 
+#: Labels before a sentence, which are no part of it, and words of contact data.
+SECTION_LABELS = ["наименование", "идея", "целевая аудитория", "участники", "результат", "цель", "задача", "описание", "требования", "контекст"]
+CONTACT_WORDS = ["телефон", "email", "http", "www"]
+
+
 def sentences(x: Column, low: int = 12, high: int = 180, first: int = 12) -> Column:
-    """Distinct sentences of fitting length in order, without addresses and links."""
-    parts = F.transform(F.split(x, r"[\n.;•]+"), lambda s: F.trim(F.regexp_replace(s, r"^[\s\-–—*\d)]+", "")))
-    kept = F.filter(parts, lambda s: F.length(s).between(low, high) & ~s.rlike(r"@|https?://|\+\d{7,}"))
-    return F.slice(F.array_distinct(kept), 1, first)
+    """Distinct sentences of fitting length in order, without section labels and contact data; case and ё make no difference."""
+    label = rf"(?iU)^({'|'.join(SECTION_LABELS)})\s*[:-]\s*"
+    contact = rf"(?U)\b({'|'.join(CONTACT_WORDS)})\b"
+    parts = F.transform(F.split(x, r"[\n.;•]+"), lambda s: collapse(F.regexp_replace(F.regexp_replace(s, label, ""), r"^[ \t:-]+|[ \t:-]+$", "")))
+    kept = F.filter(parts, lambda s: F.length(s).between(low, high) & ~F.lower(s).rlike(contact))
+    keys = F.transform(kept, lambda s: _fold_yo(_casefold(s)))
+    return F.slice(F.filter(kept, lambda s, i: F.array_position(keys, _fold_yo(_casefold(s))) == i + 1), 1, first)
 
 
 def reason_codes(x: Column) -> Column:

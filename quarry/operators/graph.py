@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.storage import materialize
+from quarry.storage import discard, materialize
 
 
 def best_edges(edges: DataFrame) -> DataFrame:
@@ -23,14 +25,15 @@ def closure(edges: DataFrame) -> DataFrame:
     size = known.count()
     while True:
         step = known.select("src", F.col("dst").alias("mid")).join(known.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
-        known = materialize(known.union(step).distinct(), "reach")
+        before, known = known, materialize(known.union(step).distinct(), "reach")
+        discard(before)
         grown = known.count()
         if grown == size:
             return known
         size = grown
 
 
-def levels(nodes: DataFrame, edges: DataFrame, max_levels: int = 10_000) -> DataFrame:
+def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, level) with level = length of the longest path that ends in the node; nodes on or behind a cycle have none.
 
     Each round takes all nodes without an open incoming edge off the graph.
@@ -38,14 +41,16 @@ def levels(nodes: DataFrame, edges: DataFrame, max_levels: int = 10_000) -> Data
     left = materialize(nodes.select("id").distinct(), "nodes")
     open_edges = materialize(edges.select("src", "dst").distinct(), "edges")
     done: DataFrame | None = None
-    for level in range(max_levels):
+    for level in count():  # every round takes a node off, or ends
         free = materialize(left.join(open_edges.select(F.col("dst").alias("id")).distinct(), "id", "left_anti"), "wave")
         if free.isEmpty():
             break
         wave = free.withColumn("level", F.lit(level))
         done = wave if done is None else done.unionByName(wave)
+        before = left, open_edges
         left = materialize(left.join(free, "id", "left_anti"), "nodes")
         open_edges = materialize(open_edges.join(free.withColumnRenamed("id", "src"), "src", "left_anti"), "edges")
+        discard(*before)
     return done if done is not None else nodes.select("id", F.lit(0).alias("level")).limit(0)
 
 
@@ -56,17 +61,15 @@ def transitive_reduction(edges: DataFrame) -> DataFrame:
     return e.join(longer, ["src", "dst"], "left_anti")
 
 
-def core(edges: DataFrame, max_rounds: int = 1_000) -> DataFrame:
+def core(edges: DataFrame) -> DataFrame:
     """Edges left when edges from a node without predecessor or into one without successor are taken off again and again: empty iff acyclic."""
     e = materialize(edges, "core")
-    size = e.count()
-    for _ in range(max_rounds):
+    size, now = -1, e.count()
+    while now not in (0, size):
         inner = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        e = materialize(inner.select(*edges.columns), "core")
-        now = e.count()
-        if now == size:
-            return e
-        size = now
+        before, e = e, materialize(inner.select(*edges.columns), "core")
+        discard(before)
+        size, now = now, e.count()
     return e
 
 

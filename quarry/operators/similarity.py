@@ -135,7 +135,7 @@ def resolve_cascade(values: DataFrame, entries: DataFrame, aliases: DataFrame, f
     return out.select("key", kind.alias("resolution"), F.coalesce("exact", "alias", "f.entry_id").alias("entry_id"), score.alias("score"))
 
 
-def greedy_absorb(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
+def greedy_absorb(pairs: DataFrame) -> DataFrame:
     """(id, anchor): each item that an earlier kept item absorbs, given similar pairs (a, b) with a before b.
 
     The result is that of walking the items in order and absorbing each into its first kept
@@ -145,9 +145,7 @@ def greedy_absorb(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
     spark = pairs.sparkSession
     open_edges = materialize(pairs.select("a", "b").distinct(), "greedy")
     absorbed: list[DataFrame] = []
-    for _ in range(max_rounds):
-        if open_edges.isEmpty():
-            break
+    while not open_edges.isEmpty():  # every round decides the first undecided item at least
         waiting = open_edges.select(F.col("b").alias("id")).distinct()
         kept = open_edges.select(F.col("a").alias("id")).distinct().join(waiting, "id", "left_anti")
         firsts = open_edges.groupBy("b").agg(F.min("a").alias("a"))
@@ -156,8 +154,6 @@ def greedy_absorb(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
         gone = taken.select("id")
         left = open_edges.join(gone.withColumnRenamed("id", "b"), "b", "left_anti").join(gone.withColumnRenamed("id", "a"), "a", "left_anti")
         open_edges = materialize(left.select("a", "b"), "greedy")
-    else:
-        raise RuntimeError("a chain of similar items is longer than max_rounds")
     if not absorbed:
         kind = pairs.schema["a"].dataType.simpleString()
         return spark.createDataFrame([], f"id {kind}, anchor {kind}")
@@ -167,6 +163,7 @@ def greedy_absorb(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
     return out
 
 
+#: Actions taken for each other, words left out, endings cut.
 _ACTIONS = {"формализация": "формулирование", "интеграция": "настройка", "setup": "настройка"}
 _DROPPED = {"для", "задач", "user", "story", "workflow", "process", "простого", "базового"}
 #: The first suffix that fits is cut, so their order counts.

@@ -43,8 +43,9 @@ def latest(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
 SELECT s.id AS skill_id, s.canonical_name, count(DISTINCT i.id) AS indicators, count(DISTINCT i.source_profile_name) AS profiles
 FROM skill s JOIN indicator i ON i.skill_id = s.id GROUP BY s.id, s.canonical_name""")
 def skill_usage(spark: SparkSession, d: str) -> DataFrame:
-    s, i = table(spark, d, "skill").select(F.col("id").alias("skill_id"), "canonical_name"), table(spark, d, "indicator").select("id", "skill_id", "source_profile_name")
-    return s.join(i, "skill_id").groupBy("skill_id", "canonical_name").agg(F.count_distinct("id").alias("indicators"), F.count_distinct("source_profile_name").alias("profiles"))
+    """Indicators, whose id is unique, are counted per skill before the join."""
+    i = table(spark, d, "indicator").groupBy("skill_id").agg(F.count("*").alias("indicators"), F.count_distinct("source_profile_name").alias("profiles"))
+    return table(spark, d, "skill").select(F.col("id").alias("skill_id"), "canonical_name").join(i, "skill_id")
 
 
 @query("SELECT * FROM (" + SQL["skill_usage"] + ") ORDER BY profiles DESC, indicators DESC, canonical_name, skill_id LIMIT 15")

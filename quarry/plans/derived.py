@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,18 +37,20 @@ def _sql_collapse(x: str) -> str:
 
 
 _FOLD = "replace(replace(lower(x), 'ß', 'ss'), 'ё', 'е')"
+_DEDUP = reduce(lambda t, pair: f"replace({t}, '{pair[0]}', '{pair[1]}')", X.DEDUP_REPLACED, _FOLD)
 
 
 @query(f"""
 SELECT id, x, lower({_sql_collapse('x')}) AS plain, regexp_replace(regexp_replace(trim(lower(x)), '[^0-9a-zа-яё+ ]', ' ', 'g'), '\\s+', ' ', 'g') AS catalog, trim(regexp_replace({_FOLD}, '[^0-9a-zа-я+]+', ' ', 'g')) AS title,
  {_sql_collapse(_FOLD)} AS search, {_sql_collapse("regexp_replace(" + _FOLD + ", '[^\\p{L}\\p{N}+ ]', ' ', 'g')")} AS admin, regexp_replace({_FOLD}, '[\\s\\-_"''`().,/]+', '', 'g') AS lookup,
- {_sql_collapse("regexp_replace(" + _FOLD + ", '[^0-9a-zа-я+ ]', ' ', 'g')")} AS scope, {_sql_collapse("regexp_replace(regexp_replace(replace(" + _FOLD + ", '&', ' and '), '[\\s_/]+', ' ', 'g'), '[^0-9a-zа-я+. -]', '', 'g')")} AS dictionary, {_sql_collapse(_FOLD)} AS query
+ {_sql_collapse("regexp_replace(" + _FOLD + ", '[^0-9a-zа-я+ ]', ' ', 'g')")} AS scope, {_sql_collapse("regexp_replace(regexp_replace(replace(" + _FOLD + ", '&', ' and '), '[\\s_/]+', ' ', 'g'), '[^0-9a-zа-я+. -]', '', 'g')")} AS dictionary, {_sql_collapse(_FOLD)} AS query,
+ {_sql_collapse("regexp_replace(regexp_replace(" + _DEDUP + ", '\\([^)]*\\)', ' ', 'g'), '[^0-9a-zа-я+/ -]+', ' ', 'g')")} AS dedup
 FROM {_NAMES}""")
 def normalizer_keys(spark: SparkSession, d: str) -> DataFrame:
     """The key of each normalizer for all names of the catalog."""
     n = table(spark, d, "skill").select("id", F.col("canonical_name").alias("x")).unionAll(table(spark, d, "skill_alias").select("id", "alias"))
     x = F.col("x")
-    keys = {"plain": X.key_plain, "catalog": X.key_catalog, "title": X.key_title, "search": X.search_norm, "admin": X.key_admin, "lookup": X.key_lookup, "scope": X.key_scope, "dictionary": X.key_dictionary, "query": X.key_query}
+    keys = {"plain": X.key_plain, "catalog": X.key_catalog, "title": X.key_title, "search": X.search_norm, "admin": X.key_admin, "lookup": X.key_lookup, "scope": X.key_scope, "dictionary": X.key_dictionary, "query": X.key_query, "dedup": X.key_dedup}
     return n.select("id", "x", *[f(x).alias(k) for k, f in keys.items()])
 
 
@@ -109,11 +113,24 @@ def brief_workload(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "profile_brief").select("id", X.workload(F.col("raw_text"))["months"].alias("months"))
 
 
-@query()
+_LABEL = "(?i)^(" + "|".join(X.SECTION_LABELS) + r")\s*[:-]\s*"
+
+
+@query(rf"""
+WITH p AS (SELECT id, list_transform(regexp_split_to_array(raw_text, '[\n.;•]+'), lambda s: trim(regexp_replace(regexp_replace(regexp_replace(s, '{_LABEL}', ''), '^[ \t:-]+|[ \t:-]+$', '', 'g'), '\s+', ' ', 'g'))) AS parts FROM profile_brief WHERE raw_text IS NOT NULL),
+ k AS (SELECT id, list_filter(parts, lambda s: length(s) BETWEEN 12 AND 180 AND NOT regexp_matches(lower(s), '(^|[^\p{{L}}\p{{N}}_])({"|".join(X.CONTACT_WORDS)})($|[^\p{{L}}\p{{N}}_])')) AS kept FROM p),
+ f AS (SELECT id, kept, list_transform(kept, lambda s: replace(lower(s), 'ё', 'е')) AS folded FROM k),
+ u AS (SELECT id, list_filter(kept, lambda s, i: list_position(folded, replace(lower(s), 'ё', 'е')) = i)[1:12] AS s FROM f)
+SELECT id, unnest(range(len(s)))::INT AS pos, unnest(s) AS sentence FROM u""")
 def brief_sentences(spark: SparkSession, d: str) -> DataFrame:
-    """Usable sentences of each brief, with their labels shortened at a word."""
-    s = table(spark, d, "profile_brief").select("id", F.posexplode(X.sentences(F.col("raw_text"))).alias("pos", "sentence"))
-    return s.select("id", "pos", "sentence", X.compact(F.col("sentence"), 8, 60).alias("label"))
+    """Usable sentences of each brief in order."""
+    return table(spark, d, "profile_brief").select("id", F.posexplode(X.sentences(F.col("raw_text"))).alias("pos", "sentence"))
+
+
+@query()
+def brief_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Usable sentences shortened to labels at a word, without a dangling tail."""
+    return brief_sentences(spark, d).select("id", "pos", X.compact(F.col("sentence"), 8, 60).alias("label"))
 
 
 @query("""

@@ -34,6 +34,7 @@ def triage_reasons(spark: SparkSession, d: str) -> DataFrame:
     return s.select("id", F.concat_ws(",", *[F.when(c, r) for r, c in rules]).alias("reasons"))
 
 
+#: The taxonomy's own order.
 _ORDER = ["remember", "understand", "apply", "analyze", "evaluate", "create"]
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import html
 import io
 import re
 import zipfile
@@ -132,20 +133,26 @@ def docx_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda x: text(bytes(x)), na_action="ignore")
 
 
-@F.pandas_udf(T.StringType())
-def csv_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Records of a delimited text, its delimiter found in the first 2048 characters, as ``head: a | b`` paragraphs."""
+def separator(text: str) -> str:
+    """The sign among comma, semicolon and tab that parts the most lines of the whole text; the first of equals."""
+    lines = text.splitlines()
+    return max(",;\t", key=lambda sign: sum(sign in line for line in lines))
 
-    def text(raw: str) -> str:
-        try:
-            dialect = csv.Sniffer().sniff(raw[:2048], delimiters=",;\t")
-        except csv.Error:
-            dialect = csv.excel
-        rows = ([c.strip() for c in r if c.strip()] for r in csv.reader(io.StringIO(raw), dialect))
-        return "\n\n".join(f"{r[0]}: {' | '.join(r[1:])}" if len(r) > 1 else r[0] for r in rows if r)
 
-    for s in batches:
-        yield s.map(text, na_action="ignore")
+@F.pandas_udf(T.StringType())
+def csv_text(texts: pd.Series) -> pd.Series:
+    """Records of a delimited text as paragraphs ``head: a | b``, without empty fields and records; null for null."""
+    out = []
+    for raw in texts:
+        if not isinstance(raw, str):
+            out.append(None)
+            continue
+        paragraphs = []
+        for record in csv.reader(io.StringIO(raw, newline=""), delimiter=separator(raw)):
+            head, *more = list(filter(None, map(str.strip, record))) or [""]
+            paragraphs.append(": ".join(filter(None, (head, " | ".join(more)))))
+        out.append("\n\n".join(filter(None, paragraphs)))
+    return pd.Series(out, dtype=object)
 
 
 def brief_texts(found: DataFrame) -> DataFrame:
@@ -156,20 +163,27 @@ def brief_texts(found: DataFrame) -> DataFrame:
     return found.select("name", text.alias("text"))
 
 
+@F.pandas_udf(T.StringType())
+def _entities(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape, na_action="ignore").astype(object).where(texts.notna(), None)
+
+
+def _untagged(x: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(x, "(?s)<[^>]+>", " "), SPACES, " "))
+
+
 def html_text(x: Column) -> Column:
-    """Text of a piece of HTML: tags away, the common entities decoded, blanks collapsed."""
-    t = F.regexp_replace(x, "(?s)<[^>]+>", " ")
-    for entity, ch in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(entity), F.lit(ch))
-    return F.trim(F.regexp_replace(t, SPACES, " "))
+    """Text of a piece of HTML: all entities decoded, then tags away, blanks collapsed."""
+    return _untagged(_entities(x))
 
 
 def html_hierarchy(pages: DataFrame, group: str = "h2", item: str = "h3", leaf: str = "li") -> DataFrame:
     """(page_id, group_no, group_name, item_no, item_name, leaves) of pages (page_id, html) with headed sections."""
-    g = pages.select("page_id", F.posexplode(F.slice(F.split("html", f"(?i)<{group}[^>]*>"), 2, 1 << 20)).alias("group_no", "g"))
+    g = pages.select("page_id", F.posexplode(F.slice(F.split("html", f"(?i)<{group}[^>]*>"), 2, (1 << 31) - 1)).alias("group_no", "g"))
     g = g.select("page_id", "group_no", html_text(F.split("g", f"(?i)</{group}>")[0]).alias("group_name"), "g")
-    i = g.select("page_id", "group_no", "group_name", F.posexplode(F.slice(F.split("g", f"(?i)<{item}[^>]*>"), 2, 1 << 20)).alias("item_no", "i"))
-    leaves = F.transform(F.regexp_extract_all("i", F.lit(f"(?is)<{leaf}[^>]*>(.*?)</{leaf}>"), F.lit(1)), lambda x: html_text(x))
+    i = g.select("page_id", "group_no", "group_name", F.posexplode(F.slice(F.split("g", f"(?i)<{item}[^>]*>"), 2, (1 << 31) - 1)).alias("item_no", "i"))
+    found = F.array_join(F.regexp_extract_all("i", F.lit(f"(?is)<{leaf}[^>]*>(.*?)</{leaf}>"), F.lit(1)), "\0")  # decoded together
+    leaves = F.transform(F.split(_entities(found), "\0"), _untagged)
     return i.select("page_id", "group_no", "group_name", "item_no", html_text(F.split("i", f"(?i)</{item}>")[0]).alias("item_name"), F.filter(leaves, lambda x: x != "").alias("leaves"))
 
 

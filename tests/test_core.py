@@ -179,17 +179,20 @@ def test_soft_delete_and_merge(spark):
 
 
 def test_normalizers(spark):
-    cases = spark.createDataFrame([("  Ёж  (SQL) X ",), ("ＡＢ—В",), ("CI CD / M V P",), (None,)], "x string")
+    cases = spark.createDataFrame([("  Ёж  (SQL) X ",), ("ＡＢ—В",), ("CI CD / M V P",), (None,), ("CI / CD–X",)], "x string")
     x = F.col("x")
     got = cases.select(X.key_plain(x), X.key_catalog(x), X.key_title(x), X.key_dedup(x), X.search_norm(x), X.key_admin(x), X.key_lookup(x)).collect()
     assert tuple(got[0]) == ("ёж (sql) x", "ёж sql x", "еж sql x", "еж x", "еж (sql) x", "еж sql x", "ежsqlx")
-    assert got[1][2] == "ab в" and got[2][3] == "ci/cd / mvp" and got[3][0] == "" and got[3][1] is None
+    assert got[1][2] == "ab в" and got[2][3] == "ci/cd / mvp" and got[3][0] == "" and got[3][1] is None and got[4][3] == "ci/cd-x"
 
 
 def test_labels_and_parsers(spark):
     one = spark.createDataFrame([("Анализ данных и (черновик", "a>b; c>d;e", "15 час в неделю, 5-6 мес", "2025-01-01T00:00:00+00:00", "??? ??")], "a string, b string, c string, d string, e string")
     r = one.select(X.strip_dangling(F.col("a")), X.pair_list(F.col("b")), X.workload(F.col("c")), X.timestamp_any(F.col("d")).cast("long"), X.looks_corrupted(F.col("e")), X.limit_words(F.lit("один два три"), 9), X.weights_percent(F.array(F.lit("a"), F.lit("b"), F.lit("c"))), X.reason_codes(F.lit("a, b;a;")), X.number(F.lit(" 1,5 ")), X.slug(F.lit("— —")), X.clean_profile_name(F.lit("Data_core v2.xlsx"))).first()
     assert r[0] == "Анализ данных" and [tuple(p) for p in r[1]] == [("a", "b"), ("c", "d")] and tuple(r[2]) == (6.0, 15.0, 391.0)
+    t = spark.createDataFrame([("Цель: Анализ учебных данных.\nанализ учебных данных; коротко\nПишите на email скорее всем; Расчёт (по плану",)], "t string")
+    got = t.select(X.sentences(F.col("t")), X.strip_dangling(F.lit("Анализ рисков и для, ко")), X.strip_dangling(F.lit("Настройка (в том числе")), X.strip_dangling(F.lit("Вид спорта"))).first()
+    assert got[0] == ["Анализ учебных данных", "Расчёт (по плану"] and tuple(got)[1:] == ("Анализ рисков", "Настройка", "Вид спорта")
     assert r[3] == 1735689600 and r[4] and r[5] == "один два…" and r[6] == "a: 33%, b: 33%, c: 34%" and r[7] == ["a", "b"] and r[8] == 1.5 and r[9] == "item" and r[10] == "Data core"
 
 
@@ -209,6 +212,7 @@ def test_document_sources(spark, tmp_path):
     (tmp_path / "~$a.xlsx").write_bytes(b"lock")
     (tmp_path / "bad.xlsx").write_bytes(b"no zip")
     (tmp_path / "b.csv").write_text("h;k;l\nx;1;2\n")
+    (tmp_path / "e.csv").write_text("a,x;b;\n\n" + "k;1;2\n" * 3 + '"q;r";;z\n')
     (tmp_path / "c.txt").write_bytes("Привет".encode("cp1251"))
     docx = io.BytesIO()
     with zipfile.ZipFile(docx, "w") as z:
@@ -220,13 +224,13 @@ def test_document_sources(spark, tmp_path):
     got = rows(files.block_rows(cells), "row_no", "skill", "inherited_skill", "dimension", "inherited_dimension")
     assert got == [(4, "SQL", False, "знает", False), (5, "SQL", True, "знает", True), (6, "SQL", True, "умеет", False)]
     texts = dict(rows(files.brief_texts(files.files(spark, str(tmp_path)))))
-    assert texts["b.csv"] == "h: k | l\n\nx: 1 | 2" and texts["c.txt"] == "Привет" and texts["d.docx"] == "Раз\nдва" and texts["a.xlsx"] is None
+    assert texts["b.csv"] == "h: k | l\n\nx: 1 | 2" and texts["e.csv"] == "a,x: b\n\n" + "k: 1 | 2\n\n" * 3 + "q;r: z" and texts["c.txt"] == "Привет" and texts["d.docx"] == "Раз\nдва" and texts["a.xlsx"] is None
 
 
 def test_html_and_log_and_report(spark, tmp_path):
-    html = "<h1>p</h1><h2>G&amp;1</h2><h3>a <b>b</b></h3><ul><li>x</li><li> y&nbsp;z </li></ul><h3>c</h3><h2>G2</h2><h3>d</h3><li>w</li>"
+    html = "<h1>p</h1><h2>G&amp;1&mdash;&#8470;</h2><h3>a <b>b</b></h3><ul><li>x</li><li> y&nbsp;z </li></ul><h3>c</h3><h2>G2</h2><h3>d</h3><li>w</li>"
     pages = spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id int, html string")
-    assert rows(files.html_hierarchy(pages), "group_name", "item_name", "leaves") == [("G&1", "a b", ["x", "y z"]), ("G&1", "c", []), ("G2", "d", ["w"])]
+    assert rows(files.html_hierarchy(pages), "group_name", "item_name", "leaves") == [("G&1—№", "a b", ["x", "y z"]), ("G&1—№", "c", []), ("G2", "d", ["w"])]
     (tmp_path / "u.jsonl").write_text('{"stage": "a", "n": 1}\nbroken\n{"stage": "b", "n": 2}\n')
     assert rows(files.usage_log(spark, str(tmp_path / "u.jsonl"), "stage string, n int")) == [("a", 1), ("b", 2)]
     data = files.csv_bytes(spark.createDataFrame([("x", None)], "a string, b int"), [("a", "A"), ("b", "B")], "Plan")
