@@ -10,9 +10,10 @@ its own segment; the key is a hash of (segment, band, index). Rows sharing a key
 Texts that only share a phrase rarely share a key, as all three minima would have to fall into the
 phrase and an index agree besides; so a common phrase makes no hot key, and what remains of skew
 (large families of near-duplicates, whose pairs are results) is split by adaptive execution.
-They are sifted by a 64-bit sketch of the words in the join itself, then by the whole fingerprints:
-these differ in at most as many bits as the trigram sets differ in trigrams, so this bound loses
-nothing. What is left is verified exactly.
+They are sifted by a 64-bit sketch of the words and 128 bits of the fingerprint in the join itself,
+then by the whole fingerprints: these differ in at most as many bits as the trigram sets differ in
+trigrams, so this bound loses nothing. What is left is verified exactly. As candidates that are
+alike by chance grow with the square of the rows, the join must leave next to none of them.
 """
 
 from __future__ import annotations
@@ -29,15 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.text import word_string
+from quarry.operators.skew import balanced
 from quarry.storage import materialize
 
 SEGMENTS = 20
 BAND = 3
 #: The segments' keys are joined in so many passes, so that disk holds a part of the keys at a time.
-PASSES = 4
+PASSES = 5
 LIST = 6
-#: Sketches of two texts may differ in so many of 64 bits: a pair at a word similarity of 0.6 differs in 13 on average, and in more than 20 once in a hundred.
-SKETCH_BITS = 20
+#: Sketches of two texts may differ in so many of 64 + 128 bits: a pair at the threshold differs in about 30 on average, unrelated texts in 71.
+SKETCH_BITS = 48
 
 _GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 
@@ -115,7 +117,7 @@ def _pack(segments: np.ndarray) -> np.ndarray:
 
 
 def _unpack(packed: np.ndarray) -> np.ndarray:
-    out = np.empty((len(packed), SEGMENTS), dtype=np.int64)
+    out = np.empty((len(packed), 2 * packed.shape[1]), dtype=np.int64)
     out[:, 0::2], out[:, 1::2] = packed & 0xFFFFFFFF, packed >> 32
     return out
 
@@ -148,52 +150,94 @@ def minima(texts: list[str]) -> np.ndarray:
     return out
 
 
-def keys_and_sketch(texts: list[str], segments: np.ndarray, some: range | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, key) of all keys of all or some segments, and a 64-bit sketch by row."""
-    some = range(SEGMENTS) if some is None else some
-    low = minima(texts)
-    sketch = np.packbits((_mix(low) & np.uint64(1)).astype(np.uint8), axis=1, bitorder="little").view(np.int64)[:, 0]
-    index = codewords(segments[:, some])
-    band = np.zeros((len(texts), len(some)), dtype=np.uint64)
-    for k, s in enumerate(some):
+def _sketch(low: np.ndarray) -> np.ndarray:
+    """A 64-bit sketch of the words by row of minima."""
+    return np.packbits((_mix(low) & np.uint64(1)).astype(np.uint8), axis=1, bitorder="little").view(np.int64)[:, 0]
+
+
+def _bands(low: np.ndarray) -> np.ndarray:
+    """(rows, SEGMENTS) hashes of 32 bits of the BAND minima that belong to each segment."""
+    band = np.zeros((len(low), SEGMENTS), dtype=np.uint64)
+    for s in range(SEGMENTS):
         for b in range(BAND):
-            band[:, k] = _mix(band[:, k] + low[:, s * BAND + b])
-    keys = _mix(((band + np.array(some, dtype=np.uint64))[..., None] * _M) ^ index.astype(np.uint64)).view(np.int64) & ((1 << 40) - 1)
-    row = np.broadcast_to(np.arange(len(texts))[:, None, None], index.shape)
-    there = index >= 0
-    return row[there], keys[there], sketch
+            band[:, s] = _mix(band[:, s] + low[:, s * BAND + b])
+    return (band >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _keys(segments: np.ndarray, bands: np.ndarray, some: range) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, segments, LIST) keys of these segments, and where there is one."""
+    index = codewords(segments)
+    band = bands.view(np.uint32).astype(np.uint64) + (np.array(some, dtype=np.uint64) << np.uint64(32))
+    return _mix(_mix(band[..., None] * _M) ^ index.astype(np.uint64)).view(np.int64) & ((1 << 40) - 1), index >= 0
+
+
+def keys_and_sketch(texts: list[str], segments: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key) of all keys, and the sketch of the words by row."""
+    low = minima(texts)
+    keys, there = _keys(segments, _bands(low), range(SEGMENTS))
+    return np.nonzero(there)[0], keys[there], _sketch(low)
 
 
 _FP = [f"f{k}" for k in range(SEGMENTS // 2)]
+_BANDS = [f"b{k}" for k in range(SEGMENTS)]
+
+
+def _emit_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ws = pa.array([word_string(t) or None for t in batch.column("text").to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("grp"), ws], names=["uid", "grp", "ws"]).filter(ws.is_valid())
 
 
 def _emit_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
-            ws = [word_string(t) for t in part.column("text").to_pylist()]
-            there = [k for k, w in enumerate(ws) if w]
-            texts = [ws[k] for k in there]
+            texts = part.column("ws").to_pylist()
             segments, n = fingerprints(texts)
-            uid, grp = (part.column(c).take(pa.array(there, pa.int64())) for c in ("uid", "grp"))
-            yield pa.RecordBatch.from_arrays([uid, grp, pa.array(texts, pa.string()), pa.array(n.astype(np.int32)), *map(pa.array, _pack(segments).T)], names=["uid", "grp", "ws", "n", *_FP])
+            low = minima(texts)
+            made = [n.astype(np.int32), _sketch(low), *_pack(segments).T, *_bands(low).T]
+            yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("grp"), *map(pa.array, made)], names=["uid", "grp", "n", "s", *_FP, *_BANDS])
 
 
 def _emit_keys(some: range):
+    """All keys of the segments by text, beside its sketches ``s``, ``t`` and ``u``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                packed = np.stack([part.column(c).to_numpy(zero_copy_only=False) for c in _FP], axis=1)
-                row, key, sketch = keys_and_sketch(part.column("ws").to_pylist(), _unpack(packed), some)
-                uid = part.column("uid").to_numpy(zero_copy_only=False)
+                packed, bands = (np.stack([part.column(c).to_numpy(zero_copy_only=False) for c in cs], axis=1) for cs in _columns(some))
+                keys, there = _keys(_unpack(packed), bands, some)
                 grp = part.column("grp").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                key ^= (_mix(grp * _M)[row] & np.uint64((1 << 40) - 1)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(uid[row]), pa.array(sketch[row])], names=["key", "uid", "sketch"])
+                keys ^= (_mix(grp * _M) & np.uint64((1 << 40) - 1)).view(np.int64)[:, None, None]
+                ends = np.cumsum([0, *there.sum(axis=(1, 2))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("uid"), *map(part.column, "stu"), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[there]))], names=["uid", *"stu", "keys"])
 
     return run
 
 
+def _columns(some: range) -> tuple[list[str], list[str]]:
+    """Names of the packed segments and of the bands of a range of segments that begins and ends between two words."""
+    return _FP[some.start // 2 : some.stop // 2], _BANDS[some.start : some.stop]
+
+
+#: 128 bits of the fingerprint: four segments, and in what they leave free of their words 36 bits of two more.
+_PRINT_SKETCH = {
+    "t": "f0 | shiftleft(f2 & 511, 23) | shiftleft(shiftright(f2, 32) & 511, 55)",
+    "u": "f1 | shiftleft(shiftright(f2, 9) & 511, 23) | shiftleft(shiftright(f2, 41) & 511, 55)",
+}
+
+
+def _candidates(prints: DataFrame, some: range) -> DataFrame:
+    """Pairs (a, b), a < b, that share a key of these segments and have near sketches."""
+    fp, bands = _columns(some)
+    rows = prints.select("uid", "grp", "s", *[F.expr(e).alias(c) for c, e in _PRINT_SKETCH.items()], *fp, *bands)
+    keys = rows.mapInArrow(_emit_keys(some), "uid long, s long, t long, u long, keys array<long>").select(F.explode("keys").alias("key"), "uid", *"stu")
+    left, right = (keys.select("key", F.col("uid").alias(x), *[F.col(c).alias(f"{c}{x}") for c in "stu"]) for x in "ab")
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in "stu"])
+    return left.join(right, "key").where((F.col("a") < F.col("b")) & (differ <= SKETCH_BITS)).select("a", "b").distinct()
+
+
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: OrderedDict[str, frozenset[str]] = OrderedDict()
@@ -232,28 +276,26 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.7) -> tuple[DataFrame,
     texts without words belong to nothing; texts of under three characters have no trigram and no
     link. Groups of exact copies take part once, so copies cost neither keys nor candidates.
     """
-    printed = rows.where("text is not null").select("uid", "grp", "text").mapInArrow(_emit_fingerprints, "uid long, grp long, ws string, n int, " + ", ".join(f"{c} long" for c in _FP))
-    texts = materialize(printed.withColumns({"h1": F.xxhash64("ws"), "h2": F.xxhash64(F.lit("h2"), "ws")}), "texts")
+    worded = rows.where("text is not null").select("uid", "grp", "text").mapInArrow(_emit_words, "uid long, grp long, ws string")
+    texts = materialize(worded.withColumns({"h1": F.xxhash64("ws"), "h2": F.xxhash64(F.lit("h2"), "ws")}), "texts")
     ident = ["grp", "h1", "h2"]
     reps = texts.groupBy(*ident).agg(F.min("uid").alias("rep"), F.count("*").alias("copies"))
     copied = materialize(reps.where("copies > 1").select(*ident, "rep"), "copied")
     members = texts.select("uid", *ident).join(copied, ident, "left").select("uid", F.coalesce("rep", "uid").alias("rep"))
     later = materialize(members.where("uid != rep").select("uid", "rep"), "members")
-    first = texts.join(later.select("uid"), "uid", "left_anti")
-    near = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= SKETCH_BITS
-    passes = []
-    for k in range(PASSES):
-        keys = first.select("uid", "grp", "ws", *_FP).mapInArrow(_emit_keys(range(k, SEGMENTS, PASSES)), "key long, uid long, sketch long")
-        left, right = keys.select("key", F.col("uid").alias("a"), F.col("sketch").alias("sa")), keys.select("key", F.col("uid").alias("b"), F.col("sketch").alias("sb"))
-        passes.append(materialize(left.join(right, "key").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct(), "candidates"))
+    first = balanced(texts.select("uid", "grp", "ws").join(later.select("uid"), "uid", "left_anti"), "uid")
+    kinds = ", ".join(["uid long, grp long, n int, s long", *[f"{c} long" for c in _FP], *[f"{c} int" for c in _BANDS]])
+    prints = materialize(first.mapInArrow(_emit_fingerprints, kinds), "prints")
+    per = SEGMENTS // PASSES
+    passes = [materialize(_candidates(prints, range(k, k + per)), "candidates") for k in range(0, SEGMENTS, per)]
     pairs = reduce(DataFrame.unionByName, passes).distinct()
-    side = lambda x, cols: texts.select(F.col("uid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
-    both = pairs.join(side("a", ["grp", "n", *_FP]), "a").join(side("b", ["grp", "n", *_FP]), "b")
+    side = lambda of, x, cols: of.select(F.col("uid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
+    both = pairs.join(side(prints, "a", ["grp", "n", *_FP]), "a").join(side(prints, "b", ["grp", "n", *_FP]), "b")
     differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _FP])
     n_a, n_b = F.col("n_a"), F.col("n_b")
     likely = (differ <= (1 - threshold) / (1 + threshold) * (n_a + n_b) + 1e-9) & (F.least(n_a, n_b) >= threshold * F.greatest(n_a, n_b) - 1e-9)
     sifted = materialize(both.where("grp_a = grp_b").where(likely).select("a", "b"), "pairs")
-    full = sifted.join(side("a", ["ws"]), "a").join(side("b", ["ws"]), "b").select("a", "b", "ws_a", "ws_b")
+    full = sifted.join(side(texts, "a", ["ws"]), "a").join(side(texts, "b", ["ws"]), "b").select("a", "b", "ws_a", "ws_b")
     return full.mapInArrow(_verify(threshold), "a long, b long, similarity double"), texts.select("uid").join(later, "uid", "left").select("uid", F.coalesce("rep", "uid").alias("rep"))
 
 
