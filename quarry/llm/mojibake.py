@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.text import sampled
 from quarry.storage import materialize
 
 MISREAD = ["cp1251", "cp1252", "latin-1", "cp866", "koi8-r", "mac-cyrillic", "iso8859-5", "cp437"]
@@ -36,9 +35,7 @@ SURE_BYTES = 7
 MAX_LOST = 0.5
 LOST = "�"
 LABELS = ["ru", "en", "uk", "de", "es"]
-#: About so many documents of each label, whole, are the dictionaries' training sample.
-SAMPLE_DOCS = 400
-#: A word of the values is known if it is at least so large a share of all their words; so no more than 1 / COMMON words are known from there.
+#: A word is known if it is at least so large a share of all words of its label's documents, or of the values; so no more than 1 / COMMON words are known from each.
 COMMON = 1 / 60_000
 #: UTF-8 sequences read in a Western set look like nothing that is written on purpose.
 _CERTAIN = {("cp1252", "utf-8"), ("latin-1", "utf-8")}
@@ -60,7 +57,18 @@ def _byte_table(codec: str) -> dict[str, int]:
     return table
 
 
+class _Bytes(dict):
+    """Code point to the character of the same number as its byte; ASCII and what the set lacks to a blank."""
+
+    def __missing__(self, point: int) -> str:
+        return " "
+
+
 _TABLES = {c: _byte_table(c) for c in MISREAD}
+_RAW = {c: _Bytes({ord(ch): chr(b) for ch, b in table.items() if ord(ch) > 127}) for c, table in _TABLES.items()}
+#: Characters that text misread in a set can hold, and what they stand for in each single-byte set.
+_HELD = {c: frozenset(table) | {"�"} for c, table in _TABLES.items()}
+_READ = {(m, t): {ord(ch): bytes([b]).decode(t, "replace") for ch, b in _TABLES[m].items()} for m in MISREAD for t in TRUE if t != "utf-8"}
 _ASCII_EDGES = "\"'().,;:!?-/#*[]"
 _EDGES = "«»“”„\"'().,;:!?…—–-/#*[]\xa0 "
 _CYRILLIC = re.compile("[\\u0400-\\u04ff]")
@@ -75,9 +83,9 @@ _SEQUENCE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0
 _USUAL = re.compile("[\x80-\u017f\u0192\u02c6\u02dc\u0386-\u03ce\u0400-\u045f\u0490\u0491\u2000-\u266f\ufb01\ufb02\ufeff]")
 
 
-def _utf8_parts(token: str, table: dict[str, int]) -> str | None:
+def _utf8_parts(token: str, table: dict[int, str]) -> str | None:
     """Every run of characters that is a valid UTF-8 sequence of the set's bytes, decoded; the rest as it is."""
-    raw = bytes(table.get(ch, 0x20) if ord(ch) > 127 else 0x20 for ch in token)
+    raw = token.translate(table).encode("latin-1")
     out, at = [], 0
     for m in _SEQUENCE.finditer(raw):
         try:
@@ -98,17 +106,12 @@ def step(token: str, misread: str, true: str) -> str | None:
     character is mapped; LOST stays LOST, and a token with more than MAX_LOST of it, or with a
     character outside the set it was misread in, is left alone.
     """
-    table = _TABLES[misread]
     if true == "utf-8":
-        out = _utf8_parts(token, table)
+        out = _utf8_parts(token, _RAW[misread])
         return None if out == token else out
-    made = []
-    for ch in token:
-        b = table.get(ch)
-        if b is None and ch != LOST:
-            return None
-        made.append(LOST if b is None else bytes([b]).decode(true, "replace"))
-    out = "".join(made)
+    if not _HELD[misread].issuperset(token):
+        return None
+    out = token.translate(_READ[misread, true])
     return None if out == token or out.count(LOST) > MAX_LOST * len(out) else out
 
 
@@ -256,39 +259,57 @@ def _plain(word: str) -> bool:
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words in usual case of one alphabet by label, counted within a batch, and the number of all words."""
-    for batch in batches:
+    """Words in usual case of one alphabet by label, counted within a task, and the number of all words.
+
+    Of single signs beyond ASCII all but capitals count, such as dashes and the shortest words.
+    """
+    pieces: dict[str, Counter] = {}
+
+    def counted() -> pa.RecordBatch:
         counts: Counter = Counter()
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            every = [w.strip(_EDGES) for w in text.split()]
-            counts[lang, ""] += len(every)
-            counts.update((lang, w) for w in every if _plain(w))
+        for lang, c in pieces.items():
+            counts[lang, ""] = c.total()
+            for piece, n in c.items():
+                word = piece.strip(_EDGES)
+                if _plain(word):
+                    counts[lang, word] += n
+                elif len(piece) == 1 and not piece.isascii() and piece == piece.lower() != LOST:
+                    counts[lang, piece] += n
+        pieces.clear()
         langs, words = zip(*counts, strict=True) if counts else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(counts.values(), pa.int64())], names=["lang", "word", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(counts.values(), pa.int64())], names=["lang", "word", "n"])
+
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            pieces.setdefault(lang, Counter()).update(text.split())
+        if sum(map(len, pieces.values())) > _MEMO:
+            yield counted()
+    yield counted()
 
 
-def _common(texts: DataFrame, share: float) -> list:
-    """(lang, word, n) of the words of texts (lang, text) seen more than twice and holding the share of all their words; counted in the executors."""
+def _common(texts: DataFrame, apart: bool) -> list:
+    """(lang, word, n) of the words of all texts (lang, text) seen more than twice and holding the share COMMON of all their words, or with ``apart`` of their label's; counted in the executors."""
     counts = texts.where("text is not null").select("lang", "text").mapInArrow(_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    if not share:
-        return counts.where("n > 2 and word != ''").collect()
     counts = materialize(counts, "words")
-    least = max(3.0, share * (counts.where("word = ''").agg(F.sum("n")).first()[0] or 0))
+    totals = dict(counts.where("word = ''").select("lang", "n").collect())
+    least = F.lit(3.0)
+    for lang, n in totals.items():
+        least = F.when(F.col("lang") == lang, F.lit(max(3.0, COMMON * (n if apart else sum(totals.values()))))).otherwise(least)
     return counts.where((F.col("word") != "") & (F.col("n") >= least)).collect()
 
 
-def train(docs: DataFrame, values: DataFrame | None = None, sample_docs: int = SAMPLE_DOCS) -> Models:
-    """Dictionaries by label of ``docs`` (id, text, lang), from about ``sample_docs`` whole documents each.
+def train(docs: DataFrame, values: DataFrame | None = None) -> Models:
+    """Dictionaries by label of ``docs`` (id, text, lang), from all documents with one of LABELS.
 
     ``values`` (text) adds the words of all values themselves, in English if a value is ASCII, else
-    in Russian. Only words of one alphabet and usual case that occur more than twice are used, and of
-    the values' those that are common (COMMON), which bounds their number. A dictionary holds its
+    in Russian. Only words of one alphabet and usual case, and signs that stand alone, that occur
+    more than twice are used, and only those that are common (COMMON), which bounds their number. A dictionary holds its
     language's words by rising frequency, so that frequent ones are cheapest. Without any text every
     value is unchanged.
     """
-    rows = _common(sampled(docs.select("id", "lang", "text"), LABELS, sample_docs), 0.0)
+    rows = _common(docs.where(F.col("lang").isin(LABELS)), True)
     if values is not None:
-        rows += _common(values.where("text is not null").distinct().select(F.when(F.col("text").rlike("^[\\x00-\\x7f]*$"), "en").otherwise("ru").alias("lang"), "text"), COMMON)
+        rows += _common(values.where("text is not null").distinct().select(F.when(F.col("text").rlike("^[\\x00-\\x7f]*$"), "en").otherwise("ru").alias("lang"), "text"), False)
     counts: dict[str, Counter] = {lang: Counter() for lang in LABELS}
     for lang, word, n in rows:
         counts[lang][word] += n
@@ -296,7 +317,7 @@ def train(docs: DataFrame, values: DataFrame | None = None, sample_docs: int = S
     for lang, c in counts.items():
         common = [w for w, _ in sorted(c.items(), key=lambda x: (x[1], x[0]))]
         known.update(w.lower() for w in common if len(w) > 1)
-        both = [w for low in dict.fromkeys(w.lower() for w in common) for w in (low.capitalize(), low)]
+        both = [w for low in dict.fromkeys(w.lower() for w in common) for w in ((low.capitalize(), low) if len(low) > 1 else (low,))]
         if both:
             dictionaries[lang] = (" " + " ".join(both) + " ").encode("utf-32-le")
     return Models(dictionaries or {"none": "none".encode("utf-32-le")}, frozenset(known))

@@ -42,6 +42,16 @@ def test_column(spark, models):
     assert [r.r.chain for r in got][1:] == [None] * 4 and got[1].r.text is None and got[4].r.text == rows[4][0]
 
 
+def test_words_are_counted_in_all_documents(spark):
+    """Words that ten of 2,000 documents hold are known, each of them; a sample of 400 documents missed many."""
+    rare = [a + b + c for a in ("пре", "над", "кор", "ман", "зал", "тук") for b in ("ло", "ви", "ша", "ре", "гу", "мы") for c in ("нок", "тка", "вый", "рон", "сть", "лик")][:200]
+    docs = spark.createDataFrame([(i, f"описание {rare[i % 200]} лекций", "ru") for i in range(2000)] + [(5000, "twice once twice", "en")], "id long, text string, lang string")
+    found = mojibake.train(docs)
+    assert set(rare) | {"описание", "лекций"} == found.known
+    order = found.dictionaries["ru"].decode("utf-32-le").split()
+    assert set(order[-4:]) == {"Описание", "описание", "Лекций", "лекций"} and list(found.dictionaries) == ["ru"]
+
+
 def test_without_training_text(spark):
     empty = mojibake.train(spark.createDataFrame([], "id long, text string, lang string"))
     assert empty.repair("Ïðàêòèêóì")[0] in ("Ïðàêòèêóì", "Практикум") and empty.repair("Аудит")[1] is None
