@@ -32,6 +32,8 @@ VOCABULARY_BLOCK = 5_000
 LIGHT_SHARE, LIGHT_ENTRIES = 0.05, 20
 ACCEPT = 0.8
 MAX_EDITS = 2
+#: Values, and entries, that a ranking task holds at most as read.
+_MEMO = 20_000
 LOST = "�"
 _TOKEN = re.compile(r"(?:[^\W_]|�)+(?:\.(?=\W|_|$))?")
 _BRACKETS = re.compile(r"\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\}")
@@ -271,14 +273,32 @@ _NAME_WORDS = F.pandas_udf(lambda s: s.map(lambda t: sorted({w.rstrip(".") for w
 _CODES = F.pandas_udf(lambda s: s.map(lambda t: codes(t) if isinstance(t, str) else []), T.ArrayType(T.StringType()))
 
 
+def _first(batch: pa.RecordBatch, on: list[str], memo: dict, *cells: str) -> tuple[list[tuple], list[tuple[tuple, dict]]]:
+    """The keys of a batch's rows, and (key, cells) of the keys that the memo lacks: nested cells cost far more to read than keys."""
+    keys = list(zip(*(batch.column(c).to_pylist() for c in on), strict=True))
+    at: dict[tuple, int] = {}
+    for k, key in enumerate(keys):
+        if key not in memo:
+            at.setdefault(key, k)
+    return keys, list(zip(at, batch.select(cells).take(pa.array(at.values(), pa.int64())).to_pylist(), strict=True))
+
+
 def _ranked(light: float, entries: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values: dict[tuple, tuple] = {}
+        listed: dict[tuple, dict[str, float]] = {}
         for batch in batches:
-            out = []
-            for read, words, dfs in zip(*(batch.column(c).to_pylist() for c in ("read", "words", "dfs")), strict=True):
-                last = max(read, key=lambda r: r["pos"])["token"]
-                value = meaning([(r["token"], r["piece"], {n["word"]: n["sim"] for n in r["near"]}) for r in sorted(read, key=lambda r: r["pos"])])
-                out.append(score(value, {w: math.log(1 + entries / n) for w, n in zip(words, dfs, strict=True)}, light, last.endswith(LOST)))
+            for memo in (values, listed):
+                if len(memo) > _MEMO:
+                    memo.clear()
+            keys, new = _first(batch, ["value", "reading"], values, "read")
+            for key, cell in new:
+                read = sorted(cell["read"], key=lambda r: r["pos"])
+                values[key] = meaning([(r["token"], r["piece"], {n["word"]: n["sim"] for n in r["near"]}) for r in read]), read[-1]["token"].endswith(LOST)
+            numbers, new = _first(batch, ["entry_no"], listed, "words", "dfs")
+            for key, cell in new:
+                listed[key] = {w: math.log(1 + entries / n) for w, n in zip(cell["words"], cell["dfs"], strict=True)}
+            out = [score(values[key][0], listed[no], light, values[key][1]) for key, no in zip(keys, numbers, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("value"), batch.column("entry_id"), pa.array(out, pa.float64())], names=["value", "entry_id", "score"])
 
     return run
@@ -315,7 +335,7 @@ def map_values(values: DataFrame, names: DataFrame, entry_codes: DataFrame | Non
     entry_dfs = entry.withColumn("entry_no", F.xxhash64("entry_id", "words")).select("entry_id", "words", "entry_no", F.explode("words").alias("word")).join(counts, "word")
     listed = entry_dfs.groupBy("entry_id", "entry_no").agg(F.collect_list("word").alias("words"), F.collect_list("df").alias("dfs"))
     postings = listed.withColumn("word", F.explode("words"))
-    cand = full.where("rarest is not null").select("value", "read", F.explode("rarest.near.word").alias("word")).join(postings, "word").select("value", "entry_id", "read", "words", "dfs")
+    cand = full.where("rarest is not null").select("value", "reading", "read", F.explode("rarest.near.word").alias("word")).join(postings, "word").select("value", "reading", "entry_id", "entry_no", "read", "words", "dfs")
     light = math.log(1 + entries / max(LIGHT_ENTRIES, LIGHT_SHARE * entries))
     scored = balanced(cand, "value").mapInArrow(_ranked(light, entries), schema=T.StructType([T.StructField("value", T.StringType()), T.StructField("entry_id", names.schema["entry_id"].dataType), T.StructField("score", T.DoubleType())])).where(F.col("score") >= ACCEPT)
     if entry_codes is not None:
